@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from opsreliability.catalog.base import ORACLE, QUERIES
+from opsreliability.catalog.base import ORACLE, QUERIES, with_views
 
 AREAS = ("sources", "scalars", "relational", "ordering", "builders", "marts", "gate", "features",
          "series", "evaluation", "learning", "scoring", "measures", "reports")
@@ -13,4 +13,4 @@ AREAS = ("sources", "scalars", "relational", "ordering", "builders", "marts", "g
 def load() -> tuple[dict, dict]:
     for area in AREAS:
         import_module(f"opsreliability.catalog.{area}")
-    return QUERIES, ORACLE
+    return QUERIES, {name: with_views(sql) for name, sql in ORACLE.items()}

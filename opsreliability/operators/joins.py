@@ -13,8 +13,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsreliability.operators.prefix import hot_keys
-
 SALTS = 32
 
 
@@ -97,20 +95,22 @@ def match_by_priority(keys: DataFrame, key: str, candidates: Sequence[DataFrame]
     return join_best(keys, both, [key], F.struct("_prio", *rank)).drop("_prio")
 
 
-def attach_stats(fact: DataFrame, stats: DataFrame, keys: Sequence[str],
-                 row_key: str | None = None) -> DataFrame:
+def attach_stats(fact: DataFrame, stats: DataFrame, keys: Sequence[str], row_key: str,
+                 hot: DataFrame) -> DataFrame:
     """Left join of per-key values to a fact whose keys may be hot.
 
-    Rows of hot keys are spread over SALTS sub-keys and only the (few) hot rows of ``stats`` are
-    repeated, so one key holding a third of the fact still fills many tasks.
+    Rows of the ``hot`` keys (see ``prefix.hot_keys``; a bounded number) are spread over SALTS
+    sub-keys and only the hot rows of ``stats`` are repeated, so one key holding a third of the
+    fact still fills many tasks.  Compute ``stats`` and ``hot`` from the base table, not from a
+    frame that already went through this join, or the plan grows with every attachment.
     """
-    hot = F.broadcast(hot_keys(fact, keys).withColumn("_hot", F.lit(True)))
-    spread = F.xxhash64(row_key) if row_key else F.xxhash64(*fact.columns)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    spread = F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")
     f = (fact.join(hot, list(keys), "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(SALTS)).cast("int"))
-                     .otherwise(F.lit(0))).drop("_hot"))
+         .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     s = (stats.join(hot, list(keys), "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), every)
                                         .otherwise(F.array(F.lit(0))))).drop("_hot"))
     return f.join(s, [*keys, "_salt"], "left").drop("_salt")
 

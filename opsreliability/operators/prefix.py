@@ -104,10 +104,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
     There can be at most 1 / share of them whatever the size of the table, so the result may be
     broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
+    return hot_of(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", share)
+
+
+def hot_of(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE) -> DataFrame:
+    """Hot keys from a frame that already holds the rows per key."""
+    total = counts.agg(F.sum(n).alias("_t"))
     return (counts.withColumn("_t", total.scalar())
-            .where(F.col("_n") > F.col("_t") * F.lit(share)).select(*keys))
+            .where(F.col(n) > F.col("_t") * F.lit(share)).select(*keys))
 
 
 def tie_break(order: Column, row_key: Column) -> Column:

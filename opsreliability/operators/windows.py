@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from opsreliability.operators.joins import attach_stats
-from opsreliability.operators.prefix import rank_values, sequence_in_group
+from opsreliability.operators.prefix import hot_keys, hot_of, rank_values, sequence_in_group
 
 
-def peer_count(df: DataFrame, keys: Sequence[str], name: str, row_key: str) -> DataFrame:
-    """Rows that share the keys with this row.
+def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str) -> DataFrame:
+    """Rows that share the keys with this row, for several key sets: {output name: keys}.
 
-    Counted by an aggregate (combined map-side) and joined back; a window would send each group
-    whole to one task.  NULL keys form a group of their own, as in a window.
+    Counted by aggregates over ``df`` (combined map-side) and joined back; a window would send
+    each group whole to one task.  NULL keys form a group of their own, as in a window.
     """
-    nk = [f"_k{i}" for i in range(len(keys))]
     d = df
-    for k, n in zip(keys, nk):
-        d = d.withColumn(n, F.coalesce(F.col(k).cast("string"), F.lit("\u0000")))
-    counts = d.groupBy(*nk).agg(F.count("*").alias(name))
-    return attach_stats(d, counts, nk, row_key).drop(*nk)
+    for i, (name, keys) in enumerate(specs.items()):
+        safe = {f"_k{i}{j}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
+                for j, k in enumerate(keys)}
+        counts = df.groupBy(*[c.alias(n) for n, c in safe.items()]).agg(F.count("*").alias(name))
+        d = attach_stats(d.withColumns(safe), counts, list(safe), row_key,
+                         hot_of(counts, list(safe), name)).drop(*safe)
+    return d
 
 
 def seq_no(df: DataFrame, keys: Sequence[str], order: str, row_key: str, name: str) -> DataFrame:
@@ -54,7 +56,7 @@ def vs_own_median(df: DataFrame, key: str, ratio: Sequence[str], difference: Seq
                   row_key: str) -> DataFrame:
     """Add c_ratio = c / group median and c_diff = c - group median."""
     cols = {c: f"_m_{c}" for c in (*ratio, *difference)}
-    d = attach_stats(df, group_median(df, [key], cols), [key], row_key)
+    d = attach_stats(df, group_median(df, [key], cols), [key], row_key, hot_keys(df, [key]))
     for c in ratio:
         d = d.withColumn(f"{c}_ratio", F.col(c) / F.nullif(F.col(f"_m_{c}"), F.lit(0.0)))
     for c in difference:
