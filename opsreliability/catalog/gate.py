@@ -68,7 +68,7 @@ view("gate_rows", "\n  UNION ALL ".join([_row(*r) for r in ROWS] + [DAYS]))
 
 
 def all_checks(t):
-    return Q.run_checks(t.legs, t.airports, t.carriers, t.raw, expect_all_days=True)
+    return Q.run_checks(t.staged, t.airports, t.carriers, t.raw, expect_all_days=True)
 
 
 @query("dq1_to_dq26_checks", CHECK_SPEC, "SELECT * FROM gate_rows")
@@ -90,4 +90,4 @@ def _(t):
        'calendar_coverage_days', 'origin_in_airport_dim', 'airport_dim_has_coordinates',
        'carrier_dim_named')""")
 def _(t):
-    return Q.run_checks(t.legs)
+    return Q.run_checks(t.staged)

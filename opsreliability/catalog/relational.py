@@ -140,11 +140,11 @@ def _(t):
        LEFT JOIN (SELECT origin, median(arr_delay_min) AS m FROM legs WHERE cancelled = 0 AND
          dep_hour < 12 GROUP BY origin HAVING count(1) > 600) o ON o.origin = l.origin""")
 def _(t):
-    base = t.legs.where("cancelled = 0 AND dep_hour < 12")
+    base = t.staged.where("cancelled = 0 AND dep_hour < 12")
     med = F.median("arr_delay_min").alias("expected")
     level = lambda k, n: (base.groupBy(k).agg(med, F.count("*").alias("_n"))
                           .where(F.col("_n") > n))
-    return J.lookup_chain(t.legs, [(level("route", 40), ["route"]), (level("origin", 600), ["origin"])],
+    return J.lookup_chain(t.staged, [(level("route", 40), ["route"]), (level("origin", 600), ["origin"])],
                           ["expected"], base.agg(med))
 
 
@@ -340,7 +340,7 @@ def _(t):
        count(1) OVER (PARTITION BY dest, flight_date, arr_hour) AS dest_hour,
        count(1) OVER (PARTITION BY carrier, flight_date) AS carrier_day FROM legs""")
 def _(t):
-    return WN.peer_counts(t.legs, {"origin_day": ["origin", "flight_date"],
+    return WN.peer_counts(t.staged, {"origin_day": ["origin", "flight_date"],
                                    "origin_hour": ["origin", "flight_date", "dep_hour"],
                                    "dest_hour": ["dest", "flight_date", "arr_hour"],
                                    "carrier_day": ["carrier", "flight_date"]}, "leg_key")
@@ -353,7 +353,7 @@ TAIL_ORDER = "PARTITION BY tail_number, flight_date ORDER BY crs_dep_min_of_day,
        f"""SELECT leg_key, tail_number, CASE WHEN tail_number IS NOT NULL THEN
        row_number() OVER ({TAIL_ORDER}) END AS leg_no FROM legs""")
 def _(t):
-    return WN.seq_no(t.legs, ["tail_number", "flight_date"], "crs_dep_min_of_day", "leg_key",
+    return WN.seq_no(t.staged, ["tail_number", "flight_date"], "crs_dep_min_of_day", "leg_key",
                      "leg_no")
 
 
@@ -362,7 +362,7 @@ def _(t):
        SELECT leg_key, tail_number, crs_dep_min_of_day - lag(crs_arr_min_of_day)
        OVER ({TAIL_ORDER}) AS g FROM legs)""")
 def _(t):
-    return WN.gap_to_prev(t.legs, ["tail_number", "flight_date"], "crs_dep_min_of_day", "leg_key",
+    return WN.gap_to_prev(t.staged, ["tail_number", "flight_date"], "crs_dep_min_of_day", "leg_key",
                           "crs_dep_min_of_day", "crs_arr_min_of_day", "turn")
 
 
@@ -399,7 +399,7 @@ def _(t):
        AS crs_elapsed_min_ratio, arr_delay_min - median(arr_delay_min) OVER (PARTITION BY origin)
        AS arr_delay_min_diff FROM legs""")
 def _(t):
-    return WN.vs_own_median(t.legs, "origin", ["crs_elapsed_min"], ["arr_delay_min"], "leg_key")
+    return WN.vs_own_median(t.staged, "origin", ["crs_elapsed_min"], ["arr_delay_min"], "leg_key")
 
 
 @query("wn8_rank_desc", "route:s otp:r6 otp_rank:l",

@@ -1 +1,122 @@
-"""..."""
+"""Scans and sinks: the given tables written in the format under test and read back."""
+
+from pyspark.sql import functions as F
+
+from opsreliability.catalog.base import query
+from opsreliability.catalog.builders import STAGED
+from opsreliability.operators.staging import stage_legs
+from opsreliability.session import shared_folder
+from opsreliability.sources import readers as R
+from opsreliability.sources import sinks as K
+from opsreliability.sources.schemas import RAW_COLUMNS
+
+
+@query("src1_csv_scan_typed", STAGED, "SELECT * FROM legs")
+def _(t):
+    """Raw records through a text CSV with an extra column, typed again and staged."""
+    p = shared_folder(t.spark, "raw-csv")
+    t.raw.withColumn("unused", F.lit(None).cast("string")).write.csv(p, header=True, escape='"')
+    return stage_legs(R.scan_csv(t.spark, p, {"leg_key": "string", **RAW_COLUMNS}), ["leg_key"])
+
+
+@query("src2_parquet_glob", "l_returnflag:s n:l qty:r4",
+       """SELECT l_returnflag, count(1) AS n, sum(l_quantity) AS qty FROM lineitem
+       WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+def _(t):
+    return (R.scan_parquet(t.spark, f"{t.folder}/lineite*.parquet")
+            .where("l_shipdate >= timestamp_ntz'1998-01-01'").groupBy("l_returnflag")
+            .agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty")))
+
+
+@query("src3_lookup_with_rename", "code:s name:s", "SELECT code, name FROM names")
+def _(t):
+    p = shared_folder(t.spark, "lookup")
+    K.write_csv(t.names.select(F.col("code").alias("Code"), F.col("name").alias("Description")), p)
+    return R.scan_lookup(t.spark, p, {"Code": "code", "Description": "name"})
+
+
+@query("src4_csv_inferred", "p_partkey:i p_size:i p_retailprice:d p_name:s",
+       "SELECT p_partkey, p_size, p_retailprice, p_name FROM part")
+def _(t):
+    p = shared_folder(t.spark, "parts")
+    K.write_csv(t.table("part"), p)
+    return R.scan_csv_auto(t.spark, p)
+
+
+@query("src5_first_available", "o_orderkey:l o_totalprice:d",
+       "SELECT o_orderkey, o_totalprice FROM orders")
+def _(t):
+    return R.scan_first_available(
+        t.spark, [f"{t.folder}/orders_full.parquet", f"{t.folder}/orders.parquet"],
+        {"o_orderkey": "bigint", "o_totalprice": "double"})
+
+
+@query("src6_registered_frame", "origin:s legs:l",
+       "SELECT origin, count(1) AS legs FROM legs GROUP BY origin")
+def _(t):
+    R.register(t.legs.select("origin"), "registered_legs")
+    return t.spark.sql("SELECT origin, count(*) AS legs FROM registered_legs GROUP BY origin")
+
+
+@query("src7_manifest", "file:s bytes:l sha256:s row_count:l")
+def _(t):
+    p = f"{t.folder}/*.parquet"
+    one = [R.manifest(t.spark, R.file_digests(t.spark, f"{t.folder}/{n}.parquet"), t.table(n))
+           for n in ("lineitem", "orders", "part")]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+@query("src8_idempotent_month_ingest", "year:i month:i row_count:l",
+       """SELECT year(flight_date) AS year, month(flight_date) AS month, count(1) AS row_count
+       FROM legs WHERE year(flight_date) = 1997 GROUP BY 1, 2""")
+def _(t):
+    """A year written by month as CSV, half ingested, then all of it: nothing is read twice."""
+    src, dst = shared_folder(t.spark, "months"), shared_folder(t.spark, "ingested")
+    legs = t.legs.where("year(flight_date) = 1997").withColumn("m", F.month("flight_date"))
+    (legs.select("m", "leg_key", "flight_date").write.partitionBy("m").csv(src, header=True))
+    types = {"leg_key": "string", "flight_date": "date"}
+    months = [(1997, m) for m in range(1, 13)]
+    R.ingest_months(t.spark, months[:6], src + "/m={month}", dst, types)
+    return R.ingest_months(t.spark, months, src + "/m={month}", dst, types)
+
+
+@query("snk1_parquet_zstd", "route:s n:l", "SELECT route, count(1) AS n FROM legs GROUP BY route")
+def _(t):
+    p = K.write_parquet(t.legs.groupBy("route").agg(F.count("*").alias("n")),
+                        shared_folder(t.spark, "routes"))
+    return R.scan_parquet(t.spark, p)
+
+
+@query("snk2_csv_ordered", "carrier_code:s flights_in_window:l",
+       "SELECT carrier_code, flights_in_window FROM carriers")
+def _(t):
+    p = K.write_csv(t.carriers, shared_folder(t.spark, "carriers"),
+                    [F.col("flights_in_window").desc()], single_file=True)
+    return R.scan_csv(t.spark, p, {"carrier_code": "string", "flights_in_window": "bigint"})
+
+
+@query("snk4_vocabularies_json", "carriers:s origins:s dests:s",
+       """SELECT string_agg(DISTINCT carrier, ',' ORDER BY carrier) AS carriers,
+       string_agg(DISTINCT origin, ',' ORDER BY origin) AS origins,
+       string_agg(DISTINCT dest, ',' ORDER BY dest) AS dests FROM legs""")
+def _(t):
+    p = K.write_json(K.vocabularies(t.legs, ["carrier", "origin", "dest"]),
+                     shared_folder(t.spark, "vocabulary"))
+    v = t.spark.read.json(p)
+    return v.select(*[F.array_join(c, ",").alias(f"{c}s") for c in ("carrier", "origin", "dest")])
+
+
+@query("snk5_model_registry", "model:s version:s trained_at:s rate:r6",
+       """SELECT carrier AS model, 'v2' AS version, CAST(max(flight_date) AS VARCHAR) AS trained_at,
+       avg(arr_del15) AS rate FROM legs GROUP BY carrier""")
+def _(t):
+    """One entry per carrier, registered twice: the later version replaces the earlier."""
+    p = shared_folder(t.spark, "registry")
+    v1 = t.legs.groupBy(F.col("carrier").alias("model")).agg(
+        F.lit("v1").alias("version"), F.min("flight_date").cast("string").alias("trained_at"),
+        F.avg("cancelled").alias("rate"))
+    v2 = t.legs.groupBy(F.col("carrier").alias("model")).agg(
+        F.lit("v2").alias("version"), F.max("flight_date").cast("string").alias("trained_at"),
+        F.avg("arr_del15").alias("rate"))
+    K.register_model(t.spark, p, v1)
+    return K.register_model(t.spark, p, v2)

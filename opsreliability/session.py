@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,15 @@ def build_session(app: str = "opsreliability", master: str | None = None,
     return b.getOrCreate()
 
 
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="opsreliability-")
+    spark.sparkContext.setCheckpointDir(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
@@ -37,12 +47,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     made only for a local session (tests) that names none.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="opsreliability-")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        _set_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path next to the checkpoints, for tables that one step writes and another reads."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        _set_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a layer once as Parquet in the shared folder and scan it from there.
+
+    Unlike a checkpoint the result is columnar, so every later use reads only its columns.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
