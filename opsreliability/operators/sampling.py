@@ -26,7 +26,7 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def fixed_sample(df: DataFrame, key: str, n: int | Column, seed: int = 42) -> DataFrame:
     """Exactly n rows (all when there are fewer), repeatable, uniform over distinct keys.
 
     The rows with the n smallest md5(seed | key) are taken.  Instead of sorting, a histogram of
@@ -38,8 +38,9 @@ def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     counts = d.groupBy("_p").agg(F.count("*").alias("_n"))
     cum = counts.withColumn("_c", F.sum("_n").over(
         W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)))
+    n = n if isinstance(n, Column) else F.lit(n)
     edge = (cum.where(F.col("_c") >= n)
-            .agg(F.min_by(F.struct("_p", (F.lit(n) - F.col("_c") + F.col("_n")).alias("_left")),
+            .agg(F.min_by(F.struct("_p", (n - F.col("_c") + F.col("_n")).alias("_left")),
                           "_p").alias("_e")))
     d = d.withColumn("_e", edge.scalar())
     inside = d.where(F.col("_e").isNull() | (F.col("_p") < F.col("_e._p")))
