@@ -1 +1,268 @@
-"""..."""
+"""Batch scoring and score marts."""
+
+from pyspark.sql import functions as F
+
+from opsreliability.catalog.base import query, view
+from opsreliability.catalog.evaluation import TEST, score_tables
+from opsreliability.catalog.features import PROFILES, TE_SPEC, features, train
+from opsreliability.catalog.relational import calendar
+from opsreliability.operators import features as FE
+from opsreliability.operators import sampling as SA
+from opsreliability.operators import scoring as SC
+
+# requests: the test legs as somebody would ask for them, with gaps and errors
+REQUESTS = {
+    "leg_key": "leg_key",
+    "carrier": "CASE WHEN flight_number LIKE '77%' THEN 'NOBODY' ELSE lower(carrier) END",
+    "origin": "CASE WHEN flight_number LIKE '88%' THEN 'XXX' ELSE origin END",
+    "dest": "dest",
+    "flight_date": "flight_date",
+    "crs_dep_time": "CASE WHEN flight_number LIKE '99%' THEN 1275 ELSE crs_dep_hhmm END",
+    "crs_arr_time": "CASE WHEN dep_hour % 2 = 0 THEN crs_arr_hhmm END",
+    "flight_number": "CASE WHEN dep_hour % 5 > 0 THEN flight_number END",
+    "distance_mi": "CASE WHEN dep_hour % 3 = 0 THEN distance_mi END",
+    "crs_elapsed_min": "CASE WHEN dep_hour % 3 = 0 THEN crs_elapsed_min END",
+    "origin_sched_deps_day": "CASE WHEN dep_hour = 7 THEN CAST(12 AS DOUBLE) END",
+    "origin_sched_deps_hour": "CASE WHEN dep_hour = 8 THEN CAST(3 AS DOUBLE) END",
+    "dest_sched_arrs_hour": "CAST(NULL AS DOUBLE)",
+    "carrier_sched_day": "CAST(NULL AS DOUBLE)",
+}
+view("requests", "SELECT " + ", ".join(f"{e} AS {c}" for c, e in REQUESTS.items())
+     + f" FROM legs WHERE {TEST}")
+view("checked", """SELECT * FROM (SELECT r.* EXCLUDE (carrier, distance_mi, crs_elapsed_min),
+    upper(r.carrier) AS carrier, r.origin || '-' || r.dest AS route,
+    ifnull(r.distance_mi, p.distance_mi) AS distance_mi,
+    ifnull(r.crs_elapsed_min, p.crs_elapsed_min) AS crs_elapsed_min,
+    CASE WHEN upper(r.carrier) NOT IN (SELECT carrier FROM legs) THEN 'unknown carrier'
+      WHEN r.origin NOT IN (SELECT origin FROM legs) THEN 'unknown origin'
+      WHEN r.dest NOT IN (SELECT dest FROM legs) THEN 'unknown dest'
+      WHEN r.origin = r.dest THEN 'origin and dest must differ'
+      WHEN r.crs_dep_time IS NULL OR r.crs_dep_time > 2400 OR r.crs_dep_time < 0
+        OR r.crs_dep_time % 100 > 59 THEN 'crs_dep_time must be HHMM'
+      WHEN ifnull(r.distance_mi, p.distance_mi) IS NULL OR ifnull(r.crs_elapsed_min,
+        p.crs_elapsed_min) IS NULL THEN 'route not flown in training window' END AS reject_reason
+  FROM requests r LEFT JOIN profile_route p ON p.route = r.origin || '-' || r.dest)""")
+
+
+def requests(t):
+    return t.staged.where(F.expr(TEST)).selectExpr(*[f"{e} AS {c}" for c, e in REQUESTS.items()])
+
+
+def checked(t):
+    return SC.validate_requests(requests(t), t.staged, FE.route_profile(train(t)))
+
+
+@query("sc1_validate_requests",
+       "leg_key:s carrier:s route:s distance_mi:d crs_elapsed_min:d reject_reason:s",
+       "SELECT * FROM checked")
+def _(t):
+    return checked(t)
+
+
+def _prof(col, table, keys):
+    on = " AND ".join(f"b.{k} = a.{k}" for k in keys)
+    return (f"coalesce(a.{col}, (SELECT avg({col}) FROM {table} b WHERE {on}), "
+            f"(SELECT median({col}) FROM {table} b WHERE b.{keys[0]} = a.{keys[0]}), "
+            f"(SELECT median({col}) FROM {table}))")
+
+
+def _enc(name, key, x):
+    return (f"coalesce((SELECT te_{x} FROM look_{name} k WHERE k.key = {key}), "
+            f"(SELECT {x} FROM prior))")
+
+
+for _k in FE.TE_KEYS:
+    view(f"look_{_k}", f"""SELECT key, CAST((s_delay + 50 * p.delay) / (n_delay + 50) AS FLOAT)
+    AS te_delay, CAST((s_cancel + 50 * p.cancel) / (n_cancel + 50) AS FLOAT) AS te_cancel
+  FROM all_{_k}, prior p WHERE n_cancel > 4""")
+view("asked", """SELECT *, CASE WHEN crs_arr_time IS NOT NULL THEN least(crs_arr_time // 100, 23)
+    ELSE CAST(floor((crs_dep_min_of_day + crs_elapsed_min) / 60) AS INT) % 24 END AS arr_hour
+  FROM (SELECT *, CASE WHEN crs_dep_time >= 2400 THEN 1439 ELSE 60 * (crs_dep_time // 100)
+    + crs_dep_time % 100 END AS crs_dep_min_of_day, least(crs_dep_time // 100, 23) AS dep_hour,
+    isodow(flight_date) AS day_of_week FROM checked WHERE reject_reason IS NULL)""")
+_keys = {"route": "a.route", "carrier_origin": "a.carrier || '-' || a.origin",
+         "flight": "a.carrier || '-' || a.flight_number"}
+
+
+@query("sc2_request_features",
+       "leg_key:s dep_hour:i arr_hour:i crs_dep_min_of_day:i day_of_week:i is_weekend:i "
+       "days_to_holiday:i sched_speed_mpm:r6 origin_sched_deps_day:r6 origin_sched_deps_hour:r6 "
+       "dest_sched_arrs_hour:r6 carrier_sched_day:r6 " + TE_SPEC,
+       "SELECT leg_key, dep_hour, arr_hour, crs_dep_min_of_day, day_of_week, "
+       "(day_of_week > 5)::INT AS is_weekend, coalesce((SELECT days_to_holiday FROM cal c WHERE "
+       "c.flight_date = a.flight_date), 30) AS days_to_holiday, "
+       "distance_mi / crs_elapsed_min AS sched_speed_mpm, "
+       + f"{_prof('origin_sched_deps_day', 'profile_origin', ['origin', 'day_of_week'])} "
+         "AS origin_sched_deps_day, "
+       + f"{_prof('origin_sched_deps_hour', 'profile_origin', ['origin', 'day_of_week', 'dep_hour'])} "
+         "AS origin_sched_deps_hour, "
+       + f"{_prof('dest_sched_arrs_hour', 'profile_dest', ['dest', 'day_of_week', 'arr_hour'])} "
+         "AS dest_sched_arrs_hour, "
+       + f"{_prof('carrier_sched_day', 'profile_carrier', ['carrier', 'day_of_week'])} "
+         "AS carrier_sched_day, "
+       + ", ".join(f"{_enc(k, e, x)} AS te_{k}_{x}" for k, e in _keys.items()
+                   for x in ("delay", "cancel")) + " FROM asked a")
+def _(t):
+    tr = train(t)
+    prof = {n: FE.schedule_profile(features(t).where("split = 'train'"), by, cols)
+            for n, (by, cols) in PROFILES.items()}
+    enc = {k: FE.te_lookup(tr, c) for k, c in FE.TE_KEYS.items()}
+    ok = checked(t).where("reject_reason IS NULL")
+    return SC.request_features(ok, prof["origin"], prof["dest"], prof["carrier"], enc,
+                               FE.priors(tr), calendar(t))
+
+
+view("score_rows", """SELECT leg_key, flight_date, carrier, origin, dest, route, dep_hour, year_month,
+    completed, cancelled, arr_del15, arr_delay_min, delay_prob, delay_pred, delay_p50, delay_p90,
+    cancel_prob FROM legs JOIN scores_cancel USING (leg_key) LEFT JOIN scores_delay USING (leg_key)
+  LEFT JOIN scores_minutes USING (leg_key)""")
+
+
+def scores(t):
+    return SC.assemble_scores(t.staged, *score_tables(t), key="leg_key")
+
+
+@query("sc3_delay_outputs",
+       "leg_key:s predicted_delayed:b risk_band:s delay_minutes_p50:r6 delay_minutes_p90:r6",
+       """SELECT leg_key, delay_prob >= 0.5 AS predicted_delayed, CASE WHEN delay_prob >= 0.45 THEN
+       'high' WHEN delay_prob >= 0.3 THEN 'elevated' WHEN delay_prob >= 0.15 THEN 'moderate'
+       ELSE 'low' END AS risk_band, delay_p50 AS delay_minutes_p50,
+       greatest(delay_p50, delay_p90) AS delay_minutes_p90 FROM score_rows WHERE completed = 1""")
+def _(t):
+    return SC.delay_outputs(scores(t).where("completed = 1"), 0.5, "delay_prob", "delay_p50",
+                            "delay_p90")
+
+
+@query("sc4_cancel_outputs", "leg_key:s cancel_prob:r6 baseline_rate:r6 relative_risk:r6",
+       """SELECT leg_key, cancel_prob, cancel AS baseline_rate, cancel_prob / nullif(cancel, 0)
+       AS relative_risk FROM score_rows, prior""")
+def _(t):
+    return SC.cancel_outputs(scores(t), FE.priors(train(t)), "cancel_prob")
+
+
+@query("sc3_sc4_model_scores",
+       "leg_key:s p_delay:r6 risk_band:s delay_minutes_p50:r4 delay_minutes_p90:r4 p_cancel:r6")
+def _(t):
+    """Fitted models end to end: requests to features to calibrated scores."""
+    from opsreliability.catalog.learning import CATS, NUMS, TREE_NUMS
+    from opsreliability.operators import learn as L
+    from opsreliability.session import cut_lineage
+    f = features(t)
+    tr = f.where("split = 'train'")
+    done = tr.where("completed = 1")
+    prof = {n: FE.schedule_profile(tr, by, cols) for n, (by, cols) in PROFILES.items()}
+    enc = {k: FE.te_lookup(tr, c) for k, c in FE.TE_KEYS.items()}
+    x = cut_lineage(SC.request_features(
+        checked(t).where("reject_reason IS NULL"), prof["origin"], prof["dest"], prof["carrier"],
+        enc, FE.priors(tr), calendar(t)))
+    delay = L.fit_logistic(done, CATS, NUMS, "arr_del15", max_iter=20)
+    cancel = L.fit_logistic(tr, CATS, NUMS, "cancelled", balanced=True, max_iter=20)
+    minutes = L.fit_quantile_tree(done, FE.CATEGORIES, TREE_NUMS, "arr_delay_min", depth=3)
+    valid = f.where("split = 'valid'")
+    iso = L.fit_isotonic(L.predict(delay, valid.where("completed = 1")), "arr_del15", "p")
+    platt = L.fit_platt(L.predict(cancel, valid), "cancelled", "p")
+    d = L.apply_isotonic(iso, L.predict(delay, x, "p0"), "p0", "p_delay")
+    d = L.apply_platt(platt, L.predict(cancel, d, "p1"), "p1", "p_cancel")
+    return SC.delay_outputs(L.predict_quantiles(minutes, d), 0.5, "p_delay")
+
+
+@query("sc5_score_export", "leg_key:s delay_prob:r6 delay_pred:i",
+       "SELECT leg_key, delay_prob, delay_pred FROM scores_delay")
+def _(t):
+    from opsreliability.session import shared_folder
+    from opsreliability.sources.sinks import write_parquet
+    _, delay, _ = score_tables(t)
+    return t.spark.read.parquet(write_parquet(delay, shared_folder(t.spark, "scores")))
+
+
+SF_SPEC = ("flight_id:s date_key:i carrier_code:s origin_airport:s route:s delay_prob:r6 "
+           "delay_pred:d delay_p50:r6 delay_p90:r6 cancel_prob:r6 arr_del15:d cancelled:i")
+view("score_fact", """SELECT leg_key AS flight_id, CAST(strftime(flight_date, '%Y%m%d') AS INT)
+    AS date_key, carrier AS carrier_code, origin AS origin_airport, * FROM score_rows""")
+
+
+@query("jn6_assemble_scores",
+       "leg_key:s delay_prob:r6 delay_pred:d delay_p50:r6 delay_p90:r6 cancel_prob:r6",
+       "SELECT * FROM score_rows")
+def _(t):
+    return scores(t)
+
+
+@query("sm1_score_fact", SF_SPEC, "SELECT * FROM score_fact")
+def _(t):
+    return SC.score_fact(scores(t), "leg_key")
+
+
+view("bands", """SELECT CASE WHEN delay_prob >= 0.5 THEN '50%+' ELSE concat(CAST(floor(delay_prob * 10) AS INT) * 10,
+    '-', CAST(floor(delay_prob * 10) AS INT) * 10 + 10, '%') END AS risk_band, count(1) AS flights,
+    avg(delay_prob) AS mean_predicted, avg(arr_del15) AS observed_rate
+  FROM score_rows WHERE completed = 1 GROUP BY 1""")
+
+
+@query("sm2_risk_bands", "risk_band:s flights:l mean_predicted:r6 observed_rate:r6",
+       "SELECT * FROM bands")
+def _(t):
+    return SC.risk_bands(scores(t))
+
+
+@query("sm3_score_carrier_month",
+       "year_month:s carrier_code:s completed_flights:l mean_delay_prob:r6 observed_delay_rate:r6 "
+       "mean_p50_min:r6 mean_p90_min:r6 mean_cancel_prob:r6 observed_cancel_rate:r6",
+       """SELECT year_month, carrier AS carrier_code, sum(completed) AS completed_flights,
+       avg(delay_prob) AS mean_delay_prob, avg(arr_del15) AS observed_delay_rate,
+       avg(delay_p50) AS mean_p50_min, avg(delay_p90) AS mean_p90_min,
+       avg(cancel_prob) AS mean_cancel_prob, avg(cancelled) AS observed_cancel_rate
+       FROM score_rows GROUP BY year_month, carrier""")
+def _(t):
+    return SC.score_carrier_month(scores(t))
+
+
+view("route_scores", """SELECT route, origin AS origin_airport, dest AS dest_airport,
+    sum(completed) AS completed_flights, avg(delay_prob) AS mean_delay_prob,
+    avg(arr_del15) AS observed_delay_rate, avg(delay_p90) AS mean_p90_min,
+    avg(cancel_prob) AS mean_cancel_prob FROM score_rows GROUP BY route, origin, dest
+  HAVING count(1) > 9""")
+
+
+@query("sm4_route_risk",
+       "route:s origin_airport:s dest_airport:s completed_flights:l mean_delay_prob:r6 "
+       "observed_delay_rate:r6 mean_p90_min:r6 mean_cancel_prob:r6", "SELECT * FROM route_scores")
+def _(t):
+    return SC.route_risk(scores(t), 10)
+
+
+view("hour_scores", """SELECT dep_hour, count(1) AS flights, avg(delay_prob) AS mean_delay_prob,
+    avg(arr_del15) AS observed_delay_rate FROM score_rows WHERE completed = 1 GROUP BY dep_hour""")
+
+
+@query("sm5_score_hour", "dep_hour:i flights:l mean_delay_prob:r6 observed_delay_rate:r6",
+       "SELECT * FROM hour_scores")
+def _(t):
+    return SC.score_hour(scores(t))
+
+
+@query("sm6_score_sample", SF_SPEC,
+       "SELECT * FROM score_fact ORDER BY md5('42|' || flight_id), flight_id LIMIT 2000")
+def _(t):
+    return SA.fixed_sample(SC.score_fact(scores(t), "leg_key"), "flight_id", 2000)
+
+
+FACT = ("flight_id:s date_key:i carrier_code:s origin_airport:s dest_airport:s route:s "
+        "flight_number:s dep_hour:i crs_dep_hhmm:d distance_mi:d crs_elapsed_min:d completed:i "
+        "cancelled:i diverted:i arr_del15:d dep_del15:i arr_delay_min:d dep_delay_min:d "
+        "taxi_out_min:r6 cancellation_reason:s carrier_delay_min:r6 weather_delay_min:r6 "
+        "nas_delay_min:r6 security_delay_min:r6 late_aircraft_delay_min:r6")
+view("fact", """SELECT * EXCLUDE (flight_id), leg_key AS flight_id, carrier AS carrier_code,
+    origin AS origin_airport, dest AS dest_airport,
+    CAST(strftime(flight_date, '%Y%m%d') AS INT) AS date_key FROM legs""")
+
+
+@query("sg8_fact_export", FACT, "SELECT * FROM fact")
+def _(t):
+    return SC.fact_export(t.legs, "leg_key")
+
+
+@query("sm6_fact_sample", FACT,
+       "SELECT * FROM fact ORDER BY md5('42|' || flight_id), flight_id LIMIT 3000")
+def _(t):
+    return SA.fixed_sample(SC.fact_export(t.staged, "leg_key"), "flight_id", 3000)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from opsreliability.operators.prefix import exact_quantiles, running_sum
 from opsreliability.operators.sampling import fixed_sample
+from opsreliability.session import cut_lineage
 
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -97,7 +98,7 @@ def classification_report(df: DataFrame, threshold: float | Column, y: str = "y"
 def top_slice(df: DataFrame, row_key: str, fracs: Sequence[float] = (0.01, 0.05), y: str = "y",
               p: str = "p") -> DataFrame:
     """Precision and lift among the highest scores; ties at the edge by md5 of the row key."""
-    counts = score_counts(df, y, p).withColumn("n", F.col("pos") + F.col("neg"))
+    counts = cut_lineage(score_counts(df, y, p).withColumn("n", F.col("pos") + F.col("neg")))
     cum = running_sum(counts, "p", ["n", "pos"], descending=True)
     total = counts.agg(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos")).alias("t"))
     out = None

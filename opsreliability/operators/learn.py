@@ -11,7 +11,7 @@ from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, Standard
                                 StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsreliability.functions.scalar import logit, round_away
@@ -160,7 +160,7 @@ def search_weight(train: DataFrame, valid: DataFrame, categories: Sequence[str],
 
 def importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
     """Share of the total gain per feature."""
-    spark = model.stages[-1]._java_obj and __import__("pyspark").sql.SparkSession.active()
+    spark = SparkSession.active()
     values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
     total = sum(values) or 1.0
     return spark.createDataFrame([(n, v / total) for n, v in zip(names, values)],
