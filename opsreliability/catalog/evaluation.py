@@ -2,24 +2,23 @@
 
 from pyspark.sql import functions as F
 
-from opsreliability.catalog.base import TRAIN_END, VALID_END, query, rnd, view
-from opsreliability.functions.scalar import round_away
+from opsreliability.catalog.base import TRAIN_END, VALID_END, query, view
 from opsreliability.operators import evaluate as EV
 from opsreliability.operators.joins import lookup_chain
 
 TRAIN = f"flight_date <= DATE '{TRAIN_END}'"
 TEST = f"flight_date > DATE '{VALID_END}'"
 
-view("rate_delay", f"""SELECT carrier, dep_hour, {rnd('avg(arr_del15)', 6)} AS delay_prob
-  FROM legs WHERE {TRAIN} GROUP BY 1, 2""")
-view("rate_cancel", f"""SELECT carrier, origin, {rnd('avg(cancelled)', 6)} AS cancel_prob
+view("rate_delay", f"""SELECT carrier, route, avg(arr_del15) AS delay_prob
+  FROM legs WHERE {TRAIN} AND completed = 1 GROUP BY 1, 2""")
+view("rate_cancel", f"""SELECT carrier, origin, avg(cancelled) AS cancel_prob
   FROM legs WHERE {TRAIN} GROUP BY 1, 2""")
 view("rate_minutes", f"""SELECT dep_hour, quantile_cont(arr_delay_min, 0.1) AS delay_p10,
     quantile_cont(arr_delay_min, 0.5) AS delay_p50, quantile_cont(arr_delay_min, 0.9) AS delay_p90
   FROM legs WHERE {TRAIN} AND completed = 1 GROUP BY 1""")
 view("scores_cancel", f"SELECT leg_key, cancel_prob FROM legs JOIN rate_cancel USING (carrier, origin) WHERE {TEST}")
 view("scores_delay", f"""SELECT leg_key, delay_prob, CASE WHEN delay_prob >= 0.51 THEN 1 ELSE 0 END
-    AS delay_pred FROM legs JOIN rate_delay USING (carrier, dep_hour)
+    AS delay_pred FROM legs JOIN rate_delay USING (carrier, route)
   WHERE {TEST} AND completed = 1""")
 view("scores_minutes", f"""SELECT leg_key, delay_p10, delay_p50, greatest(delay_p90, delay_p50)
     AS delay_p90 FROM legs JOIN rate_minutes USING (dep_hour) WHERE {TEST} AND completed = 1""")
@@ -34,14 +33,14 @@ def score_tables(t):
     train = legs.where(F.expr(TRAIN))
     test = legs.where(F.expr(TEST))
     done = test.where("completed = 1")
-    rate = lambda by, c, n: train.groupBy(*by).agg(round_away(F.avg(c), 6).alias(n))
-    q = train.where("completed = 1").groupBy("dep_hour").agg(*[
+    seen = train.where("completed = 1")
+    q = seen.groupBy("dep_hour").agg(*[
         F.percentile("arr_delay_min", p).alias(n)
         for p, n in ((0.1, "delay_p10"), (0.5, "delay_p50"), (0.9, "delay_p90"))])
-    cancel = test.join(rate(["carrier", "origin"], "cancelled", "cancel_prob"),
+    cancel = test.join(train.groupBy("carrier", "origin").agg(F.avg("cancelled").alias("cancel_prob")),
                        ["carrier", "origin"]).select("leg_key", "cancel_prob")
-    delay = done.join(rate(["carrier", "dep_hour"], "arr_del15", "delay_prob"),
-                      ["carrier", "dep_hour"]).select(
+    delay = done.join(seen.groupBy("carrier", "route").agg(F.avg("arr_del15").alias("delay_prob")),
+                      ["carrier", "route"]).select(
         "leg_key", "delay_prob", (F.col("delay_prob") >= 0.51).cast("int").alias("delay_pred"))
     minutes = done.join(q, "dep_hour").select(
         "leg_key", "delay_p10", "delay_p50",

@@ -124,9 +124,9 @@ def scores(t):
 
 @query("sc3_delay_outputs",
        "leg_key:s predicted_delayed:b risk_band:s delay_minutes_p50:r6 delay_minutes_p90:r6",
-       """SELECT leg_key, delay_prob >= 0.5 AS predicted_delayed, CASE WHEN delay_prob >= 0.45 THEN
-       'high' WHEN delay_prob >= 0.3 THEN 'elevated' WHEN delay_prob >= 0.15 THEN 'moderate'
-       ELSE 'low' END AS risk_band, delay_p50 AS delay_minutes_p50,
+       """SELECT leg_key, delay_prob >= 0.5 AS predicted_delayed, CASE WHEN NOT (delay_prob >= 0.15)
+       THEN 'low' WHEN NOT (delay_prob >= 0.3) THEN 'moderate' WHEN NOT (delay_prob >= 0.45)
+       THEN 'elevated' ELSE 'high' END AS risk_band, delay_p50 AS delay_minutes_p50,
        greatest(delay_p50, delay_p90) AS delay_minutes_p90 FROM score_rows WHERE completed = 1""")
 def _(t):
     return SC.delay_outputs(scores(t).where("completed = 1"), 0.5, "delay_prob", "delay_p50",
@@ -193,8 +193,8 @@ def _(t):
     return SC.score_fact(scores(t), "leg_key")
 
 
-view("bands", """SELECT CASE WHEN delay_prob >= 0.5 THEN '50%+' ELSE concat(CAST(floor(delay_prob * 10) AS INT) * 10,
-    '-', CAST(floor(delay_prob * 10) AS INT) * 10 + 10, '%') END AS risk_band, count(1) AS flights,
+view("bands", """SELECT CASE WHEN NOT (delay_prob >= 0.5) THEN concat(CAST(floor(delay_prob * 10) AS INT) * 10,
+    '-', CAST(floor(delay_prob * 10) AS INT) * 10 + 10, '%') ELSE '50%+' END AS risk_band, count(1) AS flights,
     avg(delay_prob) AS mean_predicted, avg(arr_del15) AS observed_rate
   FROM score_rows WHERE completed = 1 GROUP BY 1""")
 

@@ -18,8 +18,8 @@ from opsreliability.session import cut_lineage
 
 
 def score_counts(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy(F.col(p).cast("double").alias("p")).agg(
+    """Positives and negatives per distinct score; rows without score or label do not count."""
+    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(
         F.sum(F.col(y).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(y).cast("bigint")).alias("neg"))
 
