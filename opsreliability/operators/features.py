@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from opsreliability.functions import scalar as S
 from opsreliability.operators.joins import attach_stats
-from opsreliability.operators.prefix import hot_keys, sequence_in_group
+from opsreliability.operators.prefix import sequence_in_group
 from opsreliability.operators.sampling import fixed_sample
 from opsreliability.operators.windows import peer_counts
 
@@ -124,7 +124,8 @@ def target_encode(df: DataFrame, source: DataFrame, row_key: str, train: Column,
     for name, col in keys.items():
         table = te_fold_table(known, col, F.col("fold"), p, targets, m, prefix=f"te_{name}_")
         table = table.withColumnRenamed("key", col)
-        out = attach_stats(out, table, [col, "fold"], row_key, hot_keys(base, [col, "fold"]))
+        out = attach_stats(out, table, [col, "fold"], row_key,
+                           base.select(col, "fold"))
         for t in targets:
             c = f"te_{name}_{t}"
             out = out.withColumn(c, F.coalesce(F.col(c), p.select(t).scalar().cast("float")))

@@ -13,7 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsreliability.operators.prefix import hot_keys
+from opsreliability.session import materialise
+
 SALTS = 32
+BROADCAST_ROWS = 500_000
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -96,15 +100,20 @@ def match_by_priority(keys: DataFrame, key: str, candidates: Sequence[DataFrame]
 
 
 def attach_stats(fact: DataFrame, stats: DataFrame, keys: Sequence[str], row_key: str,
-                 hot: DataFrame) -> DataFrame:
+                 source: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
     """Left join of per-key values to a fact whose keys may be hot.
 
-    Rows of the ``hot`` keys (see ``prefix.hot_keys``; a bounded number) are spread over SALTS
-    sub-keys and only the hot rows of ``stats`` are repeated, so one key holding a third of the
-    fact still fills many tasks.  Compute ``stats`` and ``hot`` from the base table, not from a
-    frame that already went through this join, or the plan grows with every attachment.
+    ``stats`` is written and counted first.  Up to ``broadcast_rows`` rows it is broadcast, and
+    the fact is not shuffled at all.  Beyond that, rows of hot keys (found in ``source``, the
+    frame with the keys the statistics were taken from) are spread over SALTS sub-keys and only
+    the few hot rows of ``stats`` are repeated, so one key holding a third of the fact still
+    fills many tasks.
     """
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    stats = materialise(stats, "stats")
+    if stats.count() <= limit:
+        return fact.join(F.broadcast(stats), list(keys), "left")
+    hot = F.broadcast(hot_keys(source, keys).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")
     f = (fact.join(hot, list(keys), "left")
          .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))

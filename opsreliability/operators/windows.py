@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from opsreliability.operators.joins import attach_stats
-from opsreliability.operators.prefix import hot_keys, hot_of, rank_values, sequence_in_group
+from opsreliability.operators.prefix import rank_values, sequence_in_group
 
 
 def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str) -> DataFrame:
@@ -22,9 +22,9 @@ def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str)
     for i, (name, keys) in enumerate(specs.items()):
         safe = {f"_k{i}{j}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
                 for j, k in enumerate(keys)}
-        counts = df.groupBy(*[c.alias(n) for n, c in safe.items()]).agg(F.count("*").alias(name))
-        d = attach_stats(d.withColumns(safe), counts, list(safe), row_key,
-                         hot_of(counts, list(safe), name)).drop(*safe)
+        slim = df.select(*[c.alias(n) for n, c in safe.items()])
+        counts = slim.groupBy(*safe).agg(F.count("*").alias(name))
+        d = attach_stats(d.withColumns(safe), counts, list(safe), row_key, slim).drop(*safe)
     return d
 
 
@@ -56,7 +56,7 @@ def vs_own_median(df: DataFrame, key: str, ratio: Sequence[str], difference: Seq
                   row_key: str) -> DataFrame:
     """Add c_ratio = c / group median and c_diff = c - group median."""
     cols = {c: f"_m_{c}" for c in (*ratio, *difference)}
-    d = attach_stats(df, group_median(df, [key], cols), [key], row_key, hot_keys(df, [key]))
+    d = attach_stats(df, group_median(df, [key], cols), [key], row_key, df.select(key))
     for c in ratio:
         d = d.withColumn(f"{c}_ratio", F.col(c) / F.nullif(F.col(f"_m_{c}"), F.lit(0.0)))
     for c in difference:

@@ -9,6 +9,9 @@ diversions all occur in it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opsreliability.session import spread
 
 CODE = "concat('N', lpad(CAST({k} AS VARCHAR(20)), 2, '0'))"
 DELAY = {"spark": "datediff(l_shipdate, o_orderdate)",
@@ -98,7 +101,8 @@ def view_sql(view: dict[str, str], engine: str) -> list[str]:
 def raw_legs(spark: SparkSession, folder: str) -> DataFrame:
     """Raw records joined from the given tables; the planner picks the join strategies."""
     t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
-    joined = (t("lineitem").join(t("orders"), _eq("l_orderkey", "o_orderkey"))
+    lines = spread(t("lineitem"), f"{folder}/lineitem.parquet")
+    joined = (lines.join(t("orders"), _eq("l_orderkey", "o_orderkey"))
               .join(t("customer"), _eq("o_custkey", "c_custkey"))
               .join(t("nation").alias("cn"), _eq("c_nationkey", "cn.n_nationkey"))
               .join(t("supplier"), _eq("l_suppkey", "s_suppkey"))
@@ -119,5 +123,4 @@ def carrier_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _eq(a: str, b: str):
-    from pyspark.sql import functions as F
     return F.col(a) == F.col(b)

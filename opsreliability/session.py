@@ -20,6 +20,8 @@ def build_session(app: str = "opsreliability", master: str | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+         # wide projections: methods above this size are not compiled by the JVM's JIT
+         .config("spark.sql.codegen.hugeMethodLimit", "8000")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.ui.enabled", "false"))
     if master:
@@ -67,3 +69,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, path: str, per_core: int = 16 << 20) -> DataFrame:
+    """Spread a scan too small to fill the cores over all of them.
+
+    A file with one row group is one task whatever its size.  Inputs above ``per_core`` bytes per
+    core have enough splits and are left alone, so no large table is ever shuffled by this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(cores) if size < per_core * cores else df
