@@ -47,13 +47,13 @@ def schedule_features(legs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         (F.col("distance_mi") / F.col("crs_elapsed_min")).alias("sched_speed_mpm"), *OUTCOMES)
 
 
-def congestion_features(base: DataFrame, row_key: str) -> DataFrame:
+def congestion_features(df: DataFrame, row_key: str, source: DataFrame | None = None) -> DataFrame:
     """Planned traffic around the leg, later-cancelled legs included."""
-    return peer_counts(base, {
+    return peer_counts(df, {
         "origin_sched_deps_day": ["origin", "flight_date"],
         "origin_sched_deps_hour": ["origin", "flight_date", "dep_hour"],
         "dest_sched_arrs_hour": ["dest", "flight_date", "arr_hour"],
-        "carrier_sched_day": ["carrier", "flight_date"]}, row_key)
+        "carrier_sched_day": ["carrier", "flight_date"]}, row_key, source)
 
 
 def rotation_features(base: DataFrame, row_key: str) -> DataFrame:
@@ -61,14 +61,11 @@ def rotation_features(base: DataFrame, row_key: str) -> DataFrame:
 
     Known only on the day of operations: a missing tail tells that the leg was cancelled.
     """
-    slim = base.select(row_key, "tail_number", "flight_date", "crs_dep_min_of_day",
-                       "crs_arr_min_of_day")
-    d = sequence_in_group(slim, ["tail_number", "flight_date"], "crs_dep_min_of_day", row_key,
+    d = sequence_in_group(base, ["tail_number", "flight_date"], "crs_dep_min_of_day", row_key,
                           seq="tail_leg_of_day", lagged=("crs_arr_min_of_day", "_prev_arr"),
                           size="tail_legs_day")
     turn = F.col("crs_dep_min_of_day") - F.col("_prev_arr")
-    return d.select(row_key, "tail_leg_of_day", "tail_legs_day",
-                    F.when(turn >= 0, turn).alias("sched_turn_min"))
+    return d.withColumn("sched_turn_min", F.when(turn >= 0, turn)).drop("_prev_arr")
 
 
 # ------------------------------------------------------------------ target encoding
@@ -137,8 +134,7 @@ def feature_table(legs: DataFrame, calendar: DataFrame, train_end: str, valid_en
     """All features, outcomes and the split label, one row per leg with a calendar day."""
     base = schedule_features(legs, keep)
     train = F.col("flight_date") <= F.lit(train_end).cast("date")
-    d = congestion_features(base, row_key)
-    d = d.join(rotation_features(base, row_key), row_key, "left")
+    d = congestion_features(rotation_features(base, row_key), row_key, base)
     d = d.join(calendar.select("flight_date", "days_to_holiday"), "flight_date")
     d = target_encode(d, base, row_key, train)
     return d.withColumn("split", S.split_label("flight_date", train_end, valid_end))

@@ -98,8 +98,8 @@ def label_segments(centers: DataFrame, size: str, tiers: Sequence[str],
     items = F.array(*[F.struct((-F.abs(F.col(c))).alias("o"), F.lit(i).alias("i"),
                                F.when(F.col(c) > 0, traits[c][0]).otherwise(traits[c][1])
                                .alias("w")) for i, c in enumerate(used)])
-    top = F.array_sort(items)
-    return centers.select(key, F.concat(tier, F.lit(" - "), top[0]["w"], F.lit(", "), top[1]["w"])
+    words = F.transform(F.slice(F.array_sort(items), 1, 2), lambda t: t["w"])
+    return centers.select(key, F.concat(tier, F.lit(" - "), F.array_join(words, ", "))
                           .alias("segment"))
 
 

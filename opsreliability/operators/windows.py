@@ -12,17 +12,19 @@ from opsreliability.operators.joins import attach_stats
 from opsreliability.operators.prefix import rank_values, sequence_in_group
 
 
-def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str) -> DataFrame:
+def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str,
+                source: DataFrame | None = None) -> DataFrame:
     """Rows that share the keys with this row, for several key sets: {output name: keys}.
 
-    Counted by aggregates over ``df`` (combined map-side) and joined back; a window would send
+    Counted by aggregates over ``source`` (the rows of ``df`` before other features were attached;
+    ``df`` itself by default), combined map-side, and joined back; a window would send
     each group whole to one task.  NULL keys form a group of their own, as in a window.
     """
     d = df
     for i, (name, keys) in enumerate(specs.items()):
         safe = {f"_k{i}{j}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
                 for j, k in enumerate(keys)}
-        slim = df.select(*[c.alias(n) for n, c in safe.items()])
+        slim = (df if source is None else source).select(*[c.alias(n) for n, c in safe.items()])
         counts = slim.groupBy(*safe).agg(F.count("*").alias(name))
         d = attach_stats(d.withColumns(safe), counts, list(safe), row_key, slim).drop(*safe)
     return d
