@@ -6,16 +6,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP3 = f"""
 WITH lines AS (
-  SELECT doc_id, u.at, l[u.at] AS line
+  SELECT doc_id, u.pos, l[u.pos] AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-       unnest(range(1, len(l) + 1)) AS u(at)),
+       unnest(range(1, len(l) + 1)) AS u(pos)),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       '{UPPER}', '{UPPER.lower()}') AS key FROM lines),
 judged AS (
   SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM keyed)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), "
@@ -26,13 +26,13 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 wins AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n,
-         array_to_string(w[s.at:s.at + least(len(w), 10) - 1], ' ') AS win
-  FROM i, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS s(at)),
+         array_to_string(w[s.pos:s.pos + least(len(w), 10) - 1], ' ') AS win
+  FROM i, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS s(pos)),
 places AS (
-  SELECT doc_id, s.at, k.n, array_to_string(w[s.at:s.at + k.n - 1], ' ') AS win
-  FROM d, (SELECT DISTINCT n FROM wins) k, unnest(range(1, len(w) - k.n + 2)) AS s(at)),
-found AS (SELECT p.doc_id, p.at, p.n, x.item_id FROM places p JOIN wins x ON p.n = x.n AND p.win = x.win),
-words AS (SELECT doc_id, count(DISTINCT at + o.k) AS n_hit
+  SELECT doc_id, s.pos, k.n, array_to_string(w[s.pos:s.pos + k.n - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT n FROM wins) k, unnest(range(1, len(w) - k.n + 2)) AS s(pos)),
+found AS (SELECT p.doc_id, p.pos, p.n, x.item_id FROM places p JOIN wins x ON p.n = x.n AND p.win = x.win),
+words AS (SELECT doc_id, count(DISTINCT pos + o.k) AS n_hit
           FROM found, unnest(range(0, n)) AS o(k) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
           FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
@@ -46,10 +46,10 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 grams AS (
-  SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, w[at], w[at + 1], w[at + 2]) > 1 AS dup
-  FROM d, unnest(range(1, len(w) - 1)) AS s(at)),
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w[pos], w[pos + 1], w[pos + 2]) > 1 AS dup
+  FROM d, unnest(range(1, len(w) - 1)) AS s(pos)),
 repeats AS (
-  SELECT doc_id, count(DISTINCT at + o.k) AS n FROM grams, unnest(range(0, 3)) AS o(k)
+  SELECT doc_id, count(DISTINCT pos + o.k) AS n FROM grams, unnest(range(0, 3)) AS o(k)
   WHERE dup GROUP BY doc_id),
 lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
