@@ -149,11 +149,17 @@ def shared_anchors(d: DataFrame, buckets: int) -> DataFrame:
         group = np.cumsum(head) - 1
         hit = (np.bincount(group, minlength=1) > 1)[group] if len(group) else head
         hit = hit | (x["known"][order] > 0) | x["loose"][order]
-        yield _split(who[hit], anchors=key[hit]).rename(columns={"bucket": "k1"})
+        order = np.argsort(who[hit], kind="stable")
+        yield _split(who[hit][order] % buckets, k1=who[hit][order], anchors=key[hit][order])
+
+    def hand_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = _all(batches, k1="<i8", anchors="<u8")
+        yield _split(x["k1"], anchors=x["anchors"]).rename(columns={"bucket": "k1"})
 
     sent = d.select("k1", "text").mapInPandas(anchors, "bucket long, key binary, who binary, known binary")
-    met = (sent.repartition(buckets, "bucket").mapInPandas(meet, "k1 long, anchors binary"))
-    return met.groupBy("k1").agg(F.collect_list("anchors").alias("anchors"))
+    met = sent.repartition(buckets, "bucket").mapInPandas(meet, "bucket long, k1 binary, anchors binary")
+    named = met.repartition(buckets, "bucket").mapInPandas(hand_out, "k1 long, anchors binary")
+    return named.groupBy("k1").agg(F.collect_list("anchors").alias("anchors"))
 
 
 def duplicate_windows(texts: DataFrame, buckets: int) -> DataFrame:
@@ -189,7 +195,12 @@ def duplicate_windows(texts: DataFrame, buckets: int) -> DataFrame:
         hit = (x["owner"] > best) | x["loose"]
         k1, k2, start = x["k1"][hit], x["k2"][hit], x["start"][hit]
         order = np.lexsort((start, k2, k1))
-        k1, k2, start = k1[order], k2[order], start[order]
+        yield _split(k1[order] % buckets, k1=k1[order], k2=k2[order], start=start[order])
+
+    def hand_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = _all(batches, k1="<i8", k2="<i8", start="<i4")
+        order = np.lexsort((x["k2"], x["k1"]))
+        k1, k2, start = x["k1"][order], x["k2"][order], x["start"][order]
         edges = np.flatnonzero(_firsts(k1, k2)) if len(k1) else np.zeros(0, np.int64)
         ends = np.r_[edges[1:], len(k1)]
         yield pd.DataFrame({"k1": k1[edges], "k2": k2[edges],
@@ -197,8 +208,10 @@ def duplicate_windows(texts: DataFrame, buckets: int) -> DataFrame:
 
     sent = texts.mapInPandas(look, "bucket long, whole binary, low binary, owner binary, k1 binary, "
                                    "k2 binary, start binary")
-    met = sent.repartition(buckets, "bucket").mapInPandas(meet, "k1 long, k2 long, starts binary")
-    return (met.repartition(buckets, "k1").groupBy("k1", "k2")
+    met = sent.repartition(buckets, "bucket").mapInPandas(
+        meet, "bucket long, k1 binary, k2 binary, start binary")
+    named = met.repartition(buckets, "bucket").mapInPandas(hand_out, "k1 long, k2 long, starts binary")
+    return (named.repartition(buckets, "k1").groupBy("k1", "k2")
             .agg(F.collect_list("starts").alias("starts")))
 
 
@@ -230,11 +243,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = narrow(docs, id_col, text_col).select(
-        "k1", "k2", "doc_id", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("owner"))
+        "k1", "k2", "text", F.coalesce("doc_id", F.lit(LAST_ID)).alias("owner"))
     anchors = materialise(shared_anchors(d, buckets), "substring-anchors")
-    texts = d.repartition(buckets, "k1")  # one exchange, read twice
-    found = duplicate_windows(texts.join(anchors, "k1")
-                              .select("k1", "k2", "doc_id", "text", "owner", "anchors"), buckets)
+    texts = d.repartition(buckets, "k1")  # both uses read all its columns: one exchange for both
+    found = duplicate_windows(texts.join(anchors, "k1"), buckets)
     fields = "n_words long, n_removed long, kept_sha256 string"
     more = ", kept_text string, spans array<array<int>>" if with_text else ""
 
@@ -252,5 +264,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # both sides are dealt by k1 alone, which the grouping of ``found`` and the texts share
     out = texts.join(found, ["k1", "k2"], "left")
-    return (out.select("k1", "k2", "doc_id", "owner", cut("text", "starts").alias("r"))
-            .select("k1", "k2", "doc_id", "r.*"))
+    return (out.select("k1", "k2", "owner", cut("text", "starts").alias("r"))
+            .select("k1", "k2", F.when(F.col("owner") < LAST_ID, F.col("owner")).alias("doc_id"), "r.*"))

@@ -58,6 +58,16 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.bincount(doc, minlength=len(texts)), bucket, gram % GRAMS, np.stack([starts, ends])
 
 
+def many_features(texts: list[str | None], step: int = 200):
+    """``features`` of many texts, a few at a time: what it needs in between stays small."""
+    parts, held = [], 0
+    for i in range(0, len(texts), step):
+        counts, bucket, gram, spans = features(texts[i:i + step])
+        parts.append((counts, bucket, gram.astype(np.int32), spans + held))
+        held += len(gram)
+    return tuple(np.concatenate(x, -1) for x in zip(*parts))
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, word numbers) of overlapping windows; -1 pads texts shorter than a window.  The
     last window of a text ends with it.  A text without words has one empty window."""
@@ -199,13 +209,14 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 3, updates: int = 190,
         net.p["u"][:] = 0
         net.p["c"][:] = np.log(share / (1 - share))
         return net
-    counts, bucket, gram, spans = features(texts)
+    counts, bucket, gram, spans = many_features(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
     odds = _log_odds(bucket, owner, y, WORDS)
     net.p["words"][:, 0] = odds / 2
-    size = spans[1] - spans[0]
-    byte = np.repeat(spans[0] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    net.p["grams"][:, 0] = _log_odds(gram[byte], np.repeat(owner, size), y, GRAMS) / 2
+    each = [np.unique(np.concatenate([gram[a:b] for a, b in spans.T[i:j]]) if j > i else gram[:0])
+            for i, j in zip(np.cumsum(counts) - counts, np.cumsum(counts))]
+    net.p["grams"][:, 0] = _log_odds(np.concatenate(each).astype(np.int64), np.repeat(
+        np.arange(len(texts)), [len(x) for x in each]), y, GRAMS) / 2
     doc, at = windows(counts)
     peak = np.where(at >= 0, odds[bucket[np.maximum(at, 0)]] if len(bucket) else 0, -9).max(1)
     r = np.random.default_rng(seed)
