@@ -54,8 +54,9 @@ def rebalance(weights: list[int], shards: int, old: list[int] | None = None,
     for s, k in enumerate(out):
         held[k] += weights[s]
     most = sum(weights) / shards * (1 + slack)
+    targets = sorted(set(range(shards)) - set(old)) or range(shards)  # growing fills new shards only
     for s in order:
-        low = min(range(shards), key=lambda k: (held[k], k))
+        low = min(targets, key=lambda k: (held[k], k))
         if held[out[s]] > most and out[s] != low and held[low] + weights[s] <= most:
             held[out[s]] -= weights[s]
             held[low] += weights[s]
