@@ -110,7 +110,8 @@ def top_slice(df: DataFrame, row_key: str, fracs: Sequence[float] = (0.01, 0.05)
                                     (F.col("cum_pos") - F.col("pos")).alias("above_pos"),
                                     k.alias("k"), (F.col("_t.pos") / F.col("_t.n")).alias("rate")))
                      .alias("e")))
-        ties = df.withColumn("_e", edge.scalar()).where(F.col(p) == F.col("_e.p"))
+        ties = df.withColumn("_e", edge.scalar()).where(
+            (F.col(p) == F.col("_e.p")) & F.col(y).isNotNull())  # as in the counts above
         room = edge.select((F.col("e.k") - F.col("e.above")).alias("m"))
         taken = fixed_sample(ties, row_key, room.scalar(), seed=0)
         hits = taken.agg(F.coalesce(F.sum(y), F.lit(0)).alias("s"))

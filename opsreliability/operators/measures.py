@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsreliability.functions.scalar import safe_div
-from opsreliability.operators.windows import prev_period, rank_desc
+from opsreliability.operators.windows import null_safe_left, prev_period, rank_desc
 from opsreliability.sources.schemas import CAUSES
 
 
@@ -179,7 +179,7 @@ def measures(frame: DataFrame, names: Sequence[str], by: Sequence[str] = (),
     if NETWORK in extra:
         shared = [k for k in keys if k not in ROUTE_COLUMNS]
         net = _simple(base, ["on_time_pct"], shared).withColumnRenamed("on_time_pct", "_net")
-        d = (d.join(net, shared) if shared else
+        d = (null_safe_left(d, net, shared) if shared else
              d.withColumn("_net", net.select("_net").scalar()))
         d = d.withColumn(NETWORK, (F.col("on_time_pct") - F.col("_net")) * 100)
     if having is not None:

@@ -91,12 +91,20 @@ def rank_desc(df: DataFrame, value: str, name: str, within: Sequence[str] = ())
     return rank_values(df, value, descending=True, name=name)
 
 
+def null_safe_left(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal keys where NULL equals NULL: no group is lost for a missing key."""
+    right = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in other.columns if c not in keys])
+    on = [df[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    return df.join(right, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def prev_period(df: DataFrame, month: str, cols: Sequence[str], keys: Sequence[str] = (),
                 suffix: str = "_pm") -> DataFrame:
     """Values of the month before; ``month`` is a first-of-month date."""
     past = df.select(*keys, F.add_months(month, 1).alias(month),
                      *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(past, [*keys, month], "left")
+    return null_safe_left(df, past, [*keys, month])
 
 
 def vs_total(df: DataFrame, value: str, total: DataFrame, name: str, scale: float = 1.0) -> DataFrame:
