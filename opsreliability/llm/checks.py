@@ -21,6 +21,24 @@ FROM judged GROUP BY doc_id"""
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), '{u}', '{l}'), "
           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')").format(u=UPPER, l=UPPER.lower())
 
+OP4 = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, pos, doc_id > min(doc_id) OVER (
+           PARTITION BY array_to_string(w[pos:pos + 12], ' ')) AS later
+  FROM d, unnest(range(1, len(w) - 11)) AS s(pos)),
+gone AS (SELECT DISTINCT doc_id, pos + o.k AS pos FROM places, unnest(range(0, 13)) AS o(k) WHERE later),
+words AS (SELECT doc_id, pos, w[pos] AS word FROM d, unnest(range(1, len(w) + 1)) AS s(pos)),
+kept AS (
+  SELECT words.doc_id, count(gone.pos) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.pos) FILTER (gone.pos IS NULL) AS text
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos
+  GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
@@ -82,4 +100,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND r.source IS NULL AS kept
 FROM f LEFT JOIN rejected r USING (source)"""
 
-ORACLE = {"op3_line_dedup": OP3, "op8_decontamination": OP8, "op10_quality_rules": OP10}
+ORACLE = {"op4_substring_dedup": OP4, "op3_line_dedup": OP3, "op8_decontamination": OP8, "op10_quality_rules": OP10}
