@@ -163,7 +163,8 @@ def shared_anchors(d: DataFrame, buckets: int) -> DataFrame:
 
 
 def duplicate_windows(texts: DataFrame, buckets: int) -> DataFrame:
-    """(k1, k2, starts) of the duplicate windows; ``texts`` has the shared anchors of each row."""
+    """(k1, found) with the duplicate windows as structs (k2, starts); ``texts`` has the shared anchors
+    of each row."""
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part, words in _chunks(b):
@@ -211,8 +212,8 @@ def duplicate_windows(texts: DataFrame, buckets: int) -> DataFrame:
     met = sent.repartition(buckets, "bucket").mapInPandas(
         meet, "bucket long, k1 binary, k2 binary, start binary")
     named = met.repartition(buckets, "bucket").mapInPandas(hand_out, "k1 long, k2 long, starts binary")
-    return (named.repartition(buckets, "k1").groupBy("k1", "k2")
-            .agg(F.collect_list("starts").alias("starts")))
+    return (named.repartition(buckets, "k1").groupBy("k1")
+            .agg(F.collect_list(F.struct("k2", "starts")).alias("found")))
 
 
 def removed_words(n: int, starts: list[bytes] | None) -> np.ndarray:
@@ -262,7 +263,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 rows.append(row + ((kept.decode("utf-8", "surrogatepass"), factors(gone)) if with_text else ()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in (fields + more).split(", ")])
 
-    # both sides are dealt by k1 alone, which the grouping of ``found`` and the texts share
-    out = texts.join(found, ["k1", "k2"], "left")
+    # joined on k1 alone, as in the first use: a second key would deal the texts out once more
+    own = F.transform(F.filter("found", lambda x: x["k2"] == F.col("k2")), lambda x: x["starts"])
+    out = texts.join(found, "k1", "left").withColumn("starts", own)
     return (out.select("k1", "k2", "owner", cut("text", "starts").alias("r"))
             .select("k1", "k2", F.when(F.col("owner") < LAST_ID, F.col("owner")).alias("doc_id"), "r.*"))
