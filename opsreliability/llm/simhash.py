@@ -14,10 +14,10 @@ Copies (equal fingerprints) are one node, whatever their number.
 * **Several words** (``links_wide``).  A similarity of 0.8 lets 15 % of the bits differ, more than
   any pigeonhole can promise with selective keys.  Every word gives its own blocks, so that close
   pairs have many chances to share one; the check is the Hamming distance over all words.  In a
-  large block each member is compared with ``PIVOTS`` members that change from block to block.
-  Recall is measured in the tests and named in the README.
-* **Components** are found on distinct fingerprints with alternating star contractions, each
-  round written to the shared checkpoint folder; only two totals a round reach the driver.
+  large block ``PIVOTS`` members join most of a group first; pairs across the groups that are left
+  are all verified.  Recall against exact similarity is named in the README.
+* **Components** are found on the numbers of distinct fingerprints with alternating star
+  contractions, each round written to the shared checkpoint folder; only two totals a round reach the driver.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ from opsreliability.session import materialise
 SEED = 42
 #: Whole pieces that make one block key.
 KEEP = 2
-#: Members of a large block that every other member is compared with (several words only).
-PIVOTS = 16
+#: Members of a large block that every other member is compared with at first (several words only).
+#: It only sets what is left for the exact comparison across groups.
+PIVOTS = 4
 #: Shingles hashed at a time: bounds the memory that a very long text takes.
 CHUNK = 255 << 8
 
@@ -91,64 +92,96 @@ def _pieces(count: int) -> list[int]:
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
-def _blocks(prints: DataFrame, words: list[Column], pieces: int) -> DataFrame:
-    """Rows (n, v, size, fp) of all blocks that hold two distinct fingerprints or more."""
+def _blocks(nodes: DataFrame, words: list[Column], pieces: int) -> DataFrame:
+    """Rows (n, v, size, id) of all blocks that hold two distinct fingerprints or more.
+
+    Only the numbers of the fingerprints are sent, since most blocks hold but one."""
     masks = [_signed(a | b) for a, b in combinations(_pieces(pieces), KEEP)]
     keys = F.array(*[F.struct(F.lit(i * len(masks) + n).alias("n"), w.bitwiseAND(m).alias("v"))
                      for i, w in enumerate(words) for n, m in enumerate(masks)])
-    rows = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.n", "k.v")
+    rows = nodes.select("id", F.explode(keys).alias("k")).select("id", "k.n", "k.v")
     sizes = rows.groupBy("n", "v").agg(F.count("*").alias("size")).filter("size > 1")
-    return materialise(rows.join(sizes, ["n", "v"]), "simhash-blocks")
+    return rows.join(sizes, ["n", "v"])
+
+
+def _numbered(prints: DataFrame) -> DataFrame:
+    """(fp, id): every distinct fingerprint with a number of its own, written so that it stays."""
+    return materialise(prints.select("fp").distinct().withColumn(
+        "id", F.monotonically_increasing_id()), "simhash-nodes")
 
 
 def _pairs_inside(blocks: DataFrame, near) -> DataFrame:
     """Close pairs of small blocks.  A block is one row with its bounded list of members."""
-    lists = blocks.groupBy("n", "v").agg(F.collect_list("fp").alias("m"))
-    return lists.select(F.explode("m").alias("a"), "m").select(
-        "a", F.explode(F.filter("m", lambda x: (x > F.col("a")) & near(x, F.col("a")))).alias("b"))
+    lists = blocks.groupBy("n", "v").agg(F.collect_list(F.struct("id", "fp")).alias("m"))
+    return lists.select(F.explode("m").alias("x"), "m").select(
+        "x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & near(y["fp"], F.col("x.fp"))))
+        .alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def links_exact(prints: DataFrame, max_bits: int = 2, max_block: int = 32) -> DataFrame:
-    """Links (a, b), a < b, between distinct long ``fp`` within an even ``max_bits``: all close
-    pairs of small blocks, and for the members of larger ones links that connect the same groups."""
+def links_exact(nodes: DataFrame, max_bits: int = 2, max_block: int = 32) -> DataFrame:
+    """Links (a, b), a < b, between the numbers ``id`` of distinct long ``fp`` within an even
+    ``max_bits``: all close pairs of small blocks, and for the members of larger ones links that
+    connect the same groups."""
     if max_bits % 2:
         raise ValueError("balls meet exactly within an even number of bits")
-    blocks = _blocks(prints, [F.col("fp")], max_bits + KEEP)
+    blocks = materialise(_blocks(nodes, [F.col("fp")], max_bits + KEEP).join(nodes, "id"),
+                         "simhash-blocks")
     inside = _pairs_inside(blocks.filter(F.col("size") <= max_block),
                            lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits)
     flips = [_signed(sum(1 << b for b in bits)) for r in range(max_bits // 2 + 1)
              for bits in combinations(range(64), r)]
-    members = blocks.filter(F.col("size") > max_block).select("fp").distinct()
-    balls = materialise(members.select("fp", F.explode(F.transform(
+    members = blocks.filter(F.col("size") > max_block).select("id", "fp").distinct()
+    balls = materialise(members.select("id", F.explode(F.transform(
         F.array(*map(F.lit, flips)), lambda x: x.bitwiseXOR(F.col("fp")))).alias("at")),
         "simhash-balls")
-    centres = (balls.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
+    centres = (balls.groupBy("at").agg(F.min("id").alias("a"), F.max("id").alias("z"))
                .filter("a < z").select("at", "a"))
-    star = balls.join(centres, "at").filter("fp > a").select("a", F.col("fp").alias("b"))
+    star = balls.join(centres, "at").filter("id > a").select("a", F.col("id").alias("b"))
     return inside.unionByName(star).distinct()
 
 
-def links_wide(prints: DataFrame, width: int, max_bits: int, pieces: int = 5,
+def links_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
                max_block: int = 32) -> DataFrame:
-    """Links (a, b), a < b, between distinct array ``fp`` within ``max_bits`` of all bits."""
+    """Links (a, b), a < b, between the numbers ``id`` of distinct array ``fp``: they connect what
+    the pairs within ``max_bits`` of all bits in common blocks connect.
+
+    Small blocks verify all pairs.  In a large block every member is first held against some
+    pivots, which joins nearly all of a group of copies.  After that only pairs of different
+    groups matter: members outside the block's largest group are held against all others of the
+    block that are not in their own group.
+    """
     def near(x, y):
         return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, width)),
                    F.bit_count(x[0].bitwiseXOR(y[0]))) <= max_bits
 
-    blocks = _blocks(prints, [F.col("fp")[i] for i in range(width)], pieces)
+    blocks = materialise(_blocks(nodes, [F.col("fp")[i] for i in range(width)], pieces)
+                         .join(nodes, "id"), "simhash-blocks")
     inside = _pairs_inside(blocks.filter(F.col("size") <= max_block), near)
     large = blocks.filter(F.col("size") > max_block)
     # the members with the smallest hashes: min_by keeps one per salt, so the list is bounded
-    order = F.xxhash64("n", "v", "fp")
-    pivots = (large.withColumn("salt", F.pmod(F.xxhash64("fp", "n"), F.lit(PIVOTS)))
-              .groupBy("n", "v", "salt").agg(F.min_by("fp", order).alias("p"))
+    order = F.xxhash64("n", "v", "id")
+    pivots = (large.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(PIVOTS)))
+              .groupBy("n", "v", "salt").agg(F.min_by(F.struct("id", "fp"), order).alias("p"))
               .groupBy("n", "v").agg(F.collect_list("p").alias("m")))
     star = (large.join(pivots, ["n", "v"])
-            .select(F.col("fp").alias("x"),
-                    F.explode(F.filter("m", lambda p: (p != F.col("fp")) & near(p, F.col("fp"))))
-                    .alias("y"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    return inside.unionByName(star).distinct()
+            .select("id", F.explode(F.filter(
+                "m", lambda p: (p["id"] != F.col("id")) & near(p["fp"], F.col("fp")))).alias("p"))
+            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
+    links = materialise(inside.unionByName(star).distinct(), "simhash-links")
+    if not large.take(1):
+        return links
+    roots = components(links)
+    grouped = materialise(large.drop("size").join(roots, F.col("id") == F.col("node"), "left").select(
+        "n", "v", "id", "fp", F.coalesce("root", "id").alias("root")), "simhash-grouped")
+    main = (grouped.groupBy("n", "v", "root").agg(F.count("*").alias("c"))
+            .groupBy("n", "v").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
+    outside = grouped.join(main, ["n", "v"]).filter("root <> main").select(
+        "n", "v", "main", *[F.col(c).alias(f"o_{c}") for c in ("id", "fp", "root")])
+    # a pair of two members outside the largest group is seen once, from its larger number
+    rest = (outside.join(grouped, ["n", "v"])
+            .filter("root <> o_root and (root = main or id < o_id)").filter(near(F.col("fp"), F.col("o_fp")))
+            .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")))
+    return links.unionByName(rest).distinct()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -180,12 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _grouped(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, root) of every distinct fingerprint."""
-    nodes = prints.select("fp").distinct()
-    roots = components(links)
-    return nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"))
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, root) of every distinct fingerprint; the root is a number."""
+    return nodes.join(components(links), F.col("id") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "id").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -200,8 +231,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialise(d.select("doc_id", fingerprints(F.col("text"), words)[0].alias("fp")),
                          "simhash-prints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    placed = materialise(firsts.join(_grouped(prints, links_exact(
-        prints.select("fp").distinct(), max_bits, max_block)), "fp"), "simhash-nodes")
+    nodes = _numbered(prints)
+    placed = materialise(firsts.join(_grouped(nodes, links_exact(nodes, max_bits, max_block)), "fp"),
+                         "simhash-placed")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -224,9 +256,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = materialise(keyed.select(
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who"),
         fingerprints(F.col("text"), words, width).alias("fp")), "simhash-prints")
-    distinct = prints.select("fp").distinct()
-    groups = _grouped(prints, links_wide(distinct, width, int(max_differing * 64 * width), pieces,
-                                         max_block))
+    nodes = _numbered(prints)
+    groups = _grouped(nodes, links_wide(nodes, width, int(max_differing * 64 * width), pieces, max_block))
     firsts = prints.groupBy("fp").agg(F.min("who").alias("who"))
     stay = (firsts.join(groups, "fp").groupBy("root").agg(F.min("who").alias("who"))
             .select("who.k1", "who.k2"))

@@ -69,7 +69,7 @@ def test_simhash_components(docs, empty, given):
 
 def test_large_blocks_lose_no_link(spark):
     near = {(1 << i) | (1 << j) for i in range(12) for j in range(i, 12)}
-    prints = spark.createDataFrame([(p,) for p in near], "fp long")
+    prints = spark.createDataFrame([(p, n) for n, p in enumerate(near)], "fp long, id long")
     for limit in (2, 1000):
         roots = simhash.components(simhash.links_exact(prints, 2, limit)).collect()
         assert len({r.root for r in roots}) == 1 and len(roots) == len(near) - 1
@@ -84,6 +84,20 @@ def test_near_duplicates_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 5]
 
 
+def test_large_blocks_of_near_copies_give_the_same_groups(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for g in range(3):  # chains: each text changes the one before in a few places
+        w = [f"g{g}t{i}" for i in range(200)]
+        for _ in range(40):
+            w[r.integers(200)] = f"new{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [sorted(x.doc_id for x in simhash.drop_near_duplicates(docs, max_block=m).collect())
+            for m in (3, 1000)]
+    assert kept[0] == kept[1] and {0, 40, 80} <= set(kept[0]) and len(kept[0]) < 12
+
+
 @pytest.mark.parametrize("group", [50_000, 40])
 def test_packing(docs, empty, given, group):
     import public_tokenizers
