@@ -40,7 +40,7 @@ def _(t):
 
 @query("or5_row_sample", "leg_key:s carrier:s")
 def _(t):
-    return SA.row_sample(t.legs, 5000)
+    return SA.row_sample(t.legs, "leg_key", 5000)
 
 
 @query("st1_union_distinct", "site:s state:s",

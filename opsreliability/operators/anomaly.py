@@ -196,7 +196,8 @@ def fit_forest(df: DataFrame, features: Sequence[str], row_key: str, trees: int
     h = lambda *c: F.pmod(F.xxhash64(F.lit(seed), row_key, *c), F.lit(1_000_000))
     d = df.select(row_key, *features)
     if share < 1:
-        d = d.where(h() < int(share * 1_000_000))
+        kept = F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_key), 11)  # 53 bits
+        d = d.where(kept < int(share * (1 << 53)))
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     d = d.withColumn("tree", (h("_copy", F.lit("tree")) % trees).cast("int"))
     d = d.withColumn("_o", F.xxhash64(row_key, "_copy", F.lit(seed))).dropDuplicates(

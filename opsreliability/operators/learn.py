@@ -14,7 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsreliability.functions.scalar import logit, round_away
+from opsreliability.functions.scalar import logit
 from opsreliability.operators.evaluate import avg_precision, roc_auc
 
 RARE = 200
@@ -170,19 +170,17 @@ def importance(model: PipelineModel, names: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ calibration
 
-GRID_DIGITS = 5
-
-
 def fit_isotonic(df: DataFrame, y: str, p: str):
-    """Isotonic fit on scores counted on a 1e-5 grid: at most 100,001 weighted points."""
-    pts = (df.groupBy(round_away(p, GRID_DIGITS).alias("x")).agg(
+    """Isotonic fit on the distinct scores, weighted by their rows; violators are pooled inside
+    score ranges in parallel before the ranges meet."""
+    pts = (df.groupBy(F.col(p).alias("x")).agg(
         F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")))
     return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight",
-                              predictionCol="_iso").fit(pts.repartition(1))
+                              predictionCol="_iso").fit(pts)
 
 
 def apply_isotonic(model, df: DataFrame, p: str, name: str) -> DataFrame:
-    out = model.transform(df.withColumn("x", round_away(p, GRID_DIGITS)))
+    out = model.transform(df.withColumn("x", F.col(p)))
     return out.withColumn(name, F.greatest(F.least("_iso", F.lit(1.0)), F.lit(0.0))).drop("_iso", "x")
 
 

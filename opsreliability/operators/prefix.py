@@ -3,7 +3,7 @@
 Spark evaluates a window without PARTITION BY in a single task, and a window whose group is hot
 in one task per group.  The operators below split the order into ranges first, work inside the
 ranges in parallel, and add what the earlier ranges contribute.  The per-range totals are tiny
-(at most ``RANGES`` rows, or ``RANGES`` per hot key with at most ``1 / HOT_SHARE`` hot keys), so
+(one row per range, or one per range and hot key with at most ``1 / HOT_SHARE`` hot keys), so
 they may be broadcast and windowed in one task.
 """
 
@@ -19,8 +19,10 @@ RANGES = 64
 HOT_SHARE = 1 / 200
 
 
-def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """One row with the inner bounds of about equally filled ranges of ``order``."""
+def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """One row with the inner bounds of about equally filled ranges of ``order``: as many as the
+    session has shuffle partitions, ``RANGES`` at least."""
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / ranges for i in range(1, ranges)]
     return df.agg(F.percentile_approx(order, probs, 10000).alias("_bounds"))
 
@@ -41,7 +43,7 @@ def running_sum(df: DataFrame, order: str, cols: Sequence[str], descending: bool
     d = with_range(df, order, range_bounds(df, order))
     totals = d.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     rng = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = W.orderBy(rng).rowsBetween(W.unboundedPreceding, -1)     # at most RANGES rows
+    before = W.orderBy(rng).rowsBetween(W.unboundedPreceding, -1)     # one row per range
     offsets = totals.select("_range", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
     o = F.col(order).desc() if descending else F.col(order).asc()
@@ -154,7 +156,7 @@ def sequence_in_group(df: DataFrame, keys: Sequence[str], order: str, row_key: s
     if size:
         d = d.withColumn("_sz", F.count("*").over(whole))
 
-    # what the earlier parts of a hot group contribute: at most RANGES rows per hot key
+    # what the earlier parts of a hot group contribute: one row per range and hot key
     parts = (d.where("_hot").groupBy(*keys, "_part")
              .agg(F.count("*").alias("_n"),
                   F.max_by(F.col(lagged[0]) if lagged else F.lit(None).cast("int"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,6 @@ def fixed_sample(df: DataFrame, key: str, n: int | Column, seed: int = 42) -> Da
             .drop("_h", "_p", "_e"))
 
 
-def row_sample(df: DataFrame, n: int, total: int | None = None) -> DataFrame:
-    """About n rows, unseeded; one pass when the row count is known."""
-    total = df.count() if total is None else total
-    return df if total <= n else df.sample(fraction=n / total)
+def row_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows (all when there are fewer), other ones on every call."""
+    return fixed_sample(df, key, n, seed=random.randrange(1 << 31))
