@@ -378,7 +378,7 @@ def _(t):
     d = t.table("lineitem").withColumn("k", S.key("l_orderkey", "l_linenumber", "l_partkey",
                                                   "l_suppkey"))
     return sequence_in_group(d, ["l_returnflag"], "l_suppkey", "k", seq="flag_no",
-                             lagged=("l_quantity", "prev_qty"), size="n")
+                             lagged=("l_quantity", "prev_qty"), size="n", hot_rows=10_000)
 
 
 @query("wn4_dedupe", "iata_code:s name:s type:s",

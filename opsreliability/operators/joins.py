@@ -13,11 +13,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsreliability.operators.prefix import hot_keys
+from opsreliability.operators.prefix import HOT_ROWS, hot_keys
 from opsreliability.session import materialise
 
 SALTS = 32
-BROADCAST_ROWS = 500_000
+#: Bytes of per-key statistics that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -99,21 +100,28 @@ def match_by_priority(keys: DataFrame, key: str, candidates: Sequence[DataFrame]
     return join_best(keys, both, [key], F.struct("_prio", *rank)).drop("_prio")
 
 
+def byte_size(df: DataFrame) -> int:
+    """Bytes of all values of a written table: texts by their length, 16 a column besides."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    row = sum(texts, F.lit(16 * len(df.columns)))
+    return df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
 def attach_stats(fact: DataFrame, stats: DataFrame, keys: Sequence[str], row_key: str,
-                 source: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
+                 source: DataFrame, broadcast_bytes: int = BROADCAST_BYTES,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join of per-key values to a fact whose keys may be hot.
 
-    ``stats`` is written and counted first.  Up to ``broadcast_rows`` rows it is broadcast, and
-    the fact is not shuffled at all.  Beyond that, rows of hot keys (found in ``source``, the
-    frame with the keys the statistics were taken from) are spread over SALTS sub-keys and only
-    the few hot rows of ``stats`` are repeated, so one key holding a third of the fact still
-    fills many tasks.
+    ``stats`` is written and its bytes are added up first.  Up to ``broadcast_bytes`` it is
+    broadcast, and the fact is not shuffled at all.  Beyond that, rows of hot keys (more than
+    ``hot_rows`` rows in ``source``, the frame with the keys the statistics were taken from) are
+    spread over SALTS sub-keys and only the few hot rows of ``stats`` are repeated, so one key
+    holding a third of the fact still fills many tasks.
     """
-    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     stats = materialise(stats, "stats")
-    if stats.count() <= limit:
+    if byte_size(stats) <= broadcast_bytes:
         return fact.join(F.broadcast(stats), list(keys), "left")
-    hot = F.broadcast(hot_keys(source, keys).withColumn("_hot", F.lit(True)))
+    hot = materialise(hot_keys(source, keys, hot_rows).withColumn("_hot", F.lit(True)), "hot-keys")
     spread = F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int")
     f = (fact.join(hot, list(keys), "left")
          .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot"))

@@ -3,8 +3,8 @@
 Spark evaluates a window without PARTITION BY in a single task, and a window whose group is hot
 in one task per group.  The operators below split the order into ranges first, work inside the
 ranges in parallel, and add what the earlier ranges contribute.  The per-range totals are tiny
-(one row per range, or one per range and hot key with at most ``1 / HOT_SHARE`` hot keys), so
-they may be broadcast and windowed in one task.
+(one row per range), so they may be broadcast and windowed in one task.  Tables with a row per
+hot key are written first, so that the planner sees their size and chooses their join by it.
 """
 
 from __future__ import annotations
@@ -15,14 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from opsreliability.session import materialise
+
 RANGES = 64
-HOT_SHARE = 1 / 200
+#: Rows of one group that one task may sort; larger groups are split.
+HOT_ROWS = 1_000_000
+
+
+def _range_count(df: DataFrame) -> int:
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def range_bounds(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
     """One row with the inner bounds of about equally filled ranges of ``order``: as many as the
     session has shuffle partitions, ``RANGES`` at least."""
-    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or _range_count(df)
     probs = [i / ranges for i in range(1, ranges)]
     return df.agg(F.percentile_approx(order, probs, 10000).alias("_bounds"))
 
@@ -100,82 +107,90 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
 
 # ------------------------------------------------------------------ hot groups
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows: too many for one task."""
+    return hot_of(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", rows)
 
-    There can be at most 1 / share of them whatever the size of the table, so the result may be
-    broadcast.
-    """
-    return hot_of(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", share)
 
-
-def hot_of(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_SHARE) -> DataFrame:
+def hot_of(counts: DataFrame, keys: Sequence[str], n: str, rows: int = HOT_ROWS) -> DataFrame:
     """Hot keys from a frame that already holds the rows per key."""
-    total = counts.agg(F.sum(n).alias("_t"))
-    return (counts.withColumn("_t", total.scalar())
-            .where(F.col(n) > F.col("_t") * F.lit(share)).select(*keys))
+    return counts.where(F.col(n) > rows).select(*keys)
 
 
-def tie_break(order: Column, row_key: Column) -> Column:
-    """Number that sorts by an integer order column, then by the md5 of the row key."""
-    frac = F.conv(F.substring(F.md5(row_key.cast("binary")), 1, 8), 16, 10).cast("double")
+def tie_break(order: Column, digest: Column) -> Column:
+    """Number that never falls along the order of an integer column and then of an md5 text."""
+    frac = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     return order.cast("double") + frac / F.lit(float(1 << 32))
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Add ``_part``: 0 for ordinary groups, the range of ``order`` for hot groups."""
-    hot = hot_keys(df, keys)
-    bounds = range_bounds(df, order)
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-    return (with_range(marked, order, bounds, "_rng")
-            .withColumn("_part", F.when(F.col("_hot"), F.col("_rng")).otherwise(F.lit(0)))
-            .drop("_rng"))
+def _split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Add ``_hot`` and ``_part``: 0 for ordinary groups; for hot groups the range of ``_ord``
+    within the group's own order, rows without an order value after all others."""
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left")
+    ranges = _range_count(df)
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = materialise(marked.where("_hot").groupBy(*keys, "_nul").agg(
+        F.percentile_approx("_ord", probs, 10000).alias("_b")), "hot-bounds")
+    rng = F.size(F.filter("_b", lambda b: b < F.col("_ord"))) + F.col("_nul") * ranges
+    return (marked.join(bounds, [*keys, "_nul"], "left")
+            .withColumn("_part", F.when(F.col("_hot"), rng).otherwise(F.lit(0))).drop("_b"))
 
 
 def sequence_in_group(df: DataFrame, keys: Sequence[str], order: str, row_key: str,
                       seq: str | None = None, lagged: tuple[str, str] | None = None,
-                      size: str | None = None) -> DataFrame:
+                      size: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row number, group size and/or the previous row's value inside each group.
 
-    ``lagged`` is (value column, output name).  Rows are ordered by the integer column ``order``
-    and then by the md5 of ``row_key``.  Rows with a NULL key belong to no group: they get NULLs
-    and are spread over all tasks instead of being sent to one.
+    ``lagged`` is (value column, output name).  Rows are ordered by the integer column ``order``,
+    NULL last, then by the md5 of ``row_key``, then by ``row_key``.  Rows with a NULL key belong to
+    no group: they get NULLs and are spread over all tasks instead of being sent to one.  Groups of
+    more than ``hot_rows`` rows are split by ranges; the result does not depend on that number.
     """
     no_key = None
     for k in keys:
         no_key = F.col(k).isNull() if no_key is None else no_key | F.col(k).isNull()
-    d = df.withColumn("_ord", tie_break(F.coalesce(F.col(order), F.lit(1 << 20)), F.col(row_key)))
-    d = _split_hot(d.withColumn("_spread", F.when(no_key, F.xxhash64(row_key))), keys, "_ord")
-    inside = W.partitionBy(*keys, "_spread", "_part").orderBy("_ord", row_key)
-    whole = W.partitionBy(*keys, "_spread", "_part")
+    hot = materialise(hot_keys(df.where(~no_key), keys, hot_rows), "hot-keys")
+    d = (df.withColumn("_spread", F.when(no_key, F.xxhash64(row_key)))
+         .withColumn("_md", F.md5(F.col(row_key).cast("binary"))))
+    split = bool(hot.take(1))
+    part = ["_part"] if split else []
+    if split:
+        d = (d.withColumn("_nul", F.col(order).isNull().cast("int"))
+             .withColumn("_ord", tie_break(F.coalesce(order, F.lit(0)), F.col("_md"))))
+        d = _split_hot(d, keys, hot)
+    inside = W.partitionBy(*keys, "_spread", *part).orderBy(F.col(order).asc_nulls_last(), "_md", row_key)
     if seq:
         d = d.withColumn("_rn", F.row_number().over(inside))
     if lagged:
         d = d.withColumn("_prev", F.lag(lagged[0]).over(inside)) \
              .withColumn("_pos", F.lag(F.lit(True)).over(inside))
     if size:
-        d = d.withColumn("_sz", F.count("*").over(whole))
+        d = d.withColumn("_sz", F.count("*").over(W.partitionBy(*keys, "_spread", *part)))
+    if split:
+        d = _with_earlier_parts(d, keys, F.struct(order, "_md", row_key), lagged)
+    if seq:
+        rn = F.col("_rn") + F.coalesce("_before", F.lit(0)) if split else F.col("_rn")
+        d = d.withColumn(seq, F.when(~no_key, rn.cast("int")))
+    if lagged:
+        prev = F.when(F.col("_pos"), F.col("_prev"))
+        d = d.withColumn(lagged[1], F.when(~no_key, prev.otherwise(F.col("_carry")) if split else prev))
+    if size:
+        d = d.withColumn(size, F.when(~no_key, F.coalesce("_all", "_sz") if split else F.col("_sz")))
+    return d.drop("_nul", "_ord", "_md", "_spread", "_hot", "_part", "_rn", "_prev", "_pos", "_sz",
+                  "_before", "_carry", "_all")
+
 
-    # what the earlier parts of a hot group contribute: one row per range and hot key
-    parts = (d.where("_hot").groupBy(*keys, "_part")
-             .agg(F.count("*").alias("_n"),
-                  F.max_by(F.col(lagged[0]) if lagged else F.lit(None).cast("int"),
-                           F.struct("_ord", row_key)).alias("_last")))
+def _with_earlier_parts(d: DataFrame, keys: Sequence[str], place: Column,
+                        lagged: tuple[str, str] | None) -> DataFrame:
+    """Add what the earlier parts of a hot group contribute: one row per range and hot key."""
+    last = F.col(lagged[0]) if lagged else F.lit(None).cast("int")
+    parts = d.where("_hot").groupBy(*keys, "_part").agg(
+        F.count("*").alias("_n"), F.max_by(last, place).alias("_last"))
     by_part = W.partitionBy(*keys).orderBy("_part")
-    parts = parts.select(
+    parts = materialise(parts.select(
         *keys, "_part",
         F.coalesce(F.sum("_n").over(by_part.rowsBetween(W.unboundedPreceding, -1)),
                    F.lit(0)).alias("_before"),
         F.lag("_last").over(by_part).alias("_carry"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_all"))
-    d = d.join(F.broadcast(parts), [*keys, "_part"], "left")
-    if seq:
-        d = d.withColumn(seq, F.when(~no_key, (F.col("_rn") + F.coalesce("_before", F.lit(0)))
-                                     .cast("int")))
-    if lagged:
-        d = d.withColumn(lagged[1], F.when(~no_key, F.when(F.col("_pos"), F.col("_prev"))
-                                           .otherwise(F.col("_carry"))))
-    if size:
-        d = d.withColumn(size, F.when(~no_key, F.coalesce("_all", "_sz")))
-    return d.drop("_ord", "_spread", "_hot", "_part", "_rn", "_prev", "_pos", "_sz", "_before",
-                  "_carry", "_all")
+        F.sum("_n").over(W.partitionBy(*keys)).alias("_all")), "hot-parts")
+    return d.join(parts, [*keys, "_part"], "left")

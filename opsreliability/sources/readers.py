@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DIGEST_BYTES = 2_000_000_000      # one binaryFile value must fit in a JVM array
+DIGEST_CHUNK = 1 << 20      # bytes of a file held at a time
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str],
@@ -57,13 +61,27 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: name, bytes and SHA-256 (NULL above 2 GB, where no single value can hold it)."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("file")
-    sums = (files.where(F.col("length") < MAX_DIGEST_BYTES)
-            .select(name, F.sha2("content", 256).alias("sha256")))
-    return files.select(name, F.col("length").alias("bytes")).join(sums, "file", "left")
+def file_digests(spark: SparkSession, path: str, chunk: int = DIGEST_CHUNK) -> DataFrame:
+    """Per file: name, bytes and SHA-256.
+
+    Spark lists the files and deals them out; a task streams each in chunks, whatever its size.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def digest(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for b in batches:
+            sums = []
+            for uri in b["path"]:
+                where, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                total = hashlib.sha256()
+                with where.open_input_stream(name) as f:
+                    while data := f.read(chunk):
+                        total.update(data)
+                sums.append(total.hexdigest())
+            yield pd.DataFrame({"file": b["path"].str.rsplit("/", n=1).str[-1], "bytes": b["length"],
+                                "sha256": sums})
+
+    return files.repartition("path").mapInPandas(digest, "file string, bytes long, sha256 string")
 
 
 def manifest(spark: SparkSession, digests: DataFrame, data: DataFrame) -> DataFrame:

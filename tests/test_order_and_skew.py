@@ -28,12 +28,13 @@ def skewed(spark):
 
 
 def test_hot_keys_are_found(skewed):
-    assert [r.k for r in hot_keys(skewed[0].where("k IS NOT NULL"), ["k"]).collect()] == ["hot"]
+    assert [r.k for r in hot_keys(skewed[0].where("k IS NOT NULL"), ["k"], 1000).collect()] == ["hot"]
 
 
-def test_sequence_in_hot_groups(skewed):
+@pytest.mark.parametrize("hot_rows", [1000, 1_000_000])
+def test_sequence_in_hot_groups(skewed, hot_rows):
     df, pdf = skewed
-    got = sequence_in_group(df, ["k"], "o", "id", "no", ("v", "prev"), "size").toPandas()
+    got = sequence_in_group(df, ["k"], "o", "id", "no", ("v", "prev"), "size", hot_rows).toPandas()
     pdf = pdf.assign(h=[hashlib.md5(i.encode()).hexdigest() for i in pdf["id"]])
     want = pdf.dropna(subset=["k"]).sort_values(["o", "h"])
     g = want.groupby("k")
@@ -44,6 +45,17 @@ def test_sequence_in_hot_groups(skewed):
     assert got[got.k.isna()][["no", "prev", "size"]].isna().all().all()
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_rows_without_an_order_value_come_last(spark, hot_rows):
+    df = spark.range(300).selectExpr("cast(id AS string) AS id", "'x' AS k",
+                                     "if(id % 10 = 0, NULL, 2000000000000 + id % 7) AS o")
+    got = sequence_in_group(df, ["k"], "o", "id", "no", ("id", "prev"), "n", hot_rows).toPandas()
+    h = [hashlib.md5(i.encode()).hexdigest() for i in got["id"]]
+    want = got.assign(h=h).sort_values(["o", "h"], na_position="last")
+    assert want.no.tolist() == list(range(1, 301)) and set(got.n) == {300}
+    assert want.prev.iloc[1:].tolist() == want["id"].iloc[:-1].tolist() and pd.isna(want.prev.iloc[0])
+
+
 def test_negative_gap_is_null(spark):
     d = spark.createDataFrame([("a", "x", 10, 50), ("b", "x", 60, 90), ("c", "x", 80, 95)],
                               "id string, k string, dep int, arr int")
@@ -54,7 +66,7 @@ def test_negative_gap_is_null(spark):
 def test_salted_join_equals_broadcast_join(skewed):
     df, pdf = skewed
     stats = df.groupBy("k").agg(F.count("*").alias("n"))
-    a = attach_stats(df, stats, ["k"], "id", df.select("k"), broadcast_rows=0)
+    a = attach_stats(df, stats, ["k"], "id", df.select("k"), broadcast_bytes=0, hot_rows=1000)
     b = attach_stats(df, stats, ["k"], "id", df.select("k"))
     assert sorted(map(tuple, a.select("id", "n").collect()), key=str) == sorted(
         map(tuple, b.select("id", "n").collect()), key=str)
