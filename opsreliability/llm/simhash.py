@@ -11,13 +11,13 @@ Copies (equal fingerprints) are one node, whatever their number.
   their members emit all values within r = max_bits / 2 bits instead.  Two fingerprints are within
   2r bits exactly if these balls meet, so linking each member to the smallest one of every ball
   centre loses no connection.
-* **Several words** (``links_wide``).  A similarity of 0.8 lets 15 % of the bits differ, more than
+* **Several words** (``roots_wide``).  A similarity of 0.8 lets 15 % of the bits differ, more than
   any pigeonhole can promise with selective keys.  Every word gives its own blocks, so that close
   pairs have many chances to share one; the check is the Hamming distance over all words.  In a
   large block ``PIVOTS`` members join most of a group first; pairs across the groups that are left
   are all verified.  Recall against exact similarity is named in the README.
 * **Components** are found on the numbers of distinct fingerprints with alternating star
-  contractions, each round written to the shared checkpoint folder; only two totals a round reach the driver.
+  contractions, each round written to the shared checkpoint folder; one row a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -140,15 +140,16 @@ def links_exact(nodes: DataFrame, max_bits: int = 2, max_block: int = 32) -> Dat
     return inside.unionByName(star).distinct()
 
 
-def links_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
+def roots_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
                max_block: int = 32) -> DataFrame:
-    """Links (a, b), a < b, between the numbers ``id`` of distinct array ``fp``: they connect what
-    the pairs within ``max_bits`` of all bits in common blocks connect.
+    """(id, root) of every distinct array ``fp``: groups of what the pairs within ``max_bits`` of
+    all bits in common blocks connect.
 
     Small blocks verify all pairs.  In a large block every member is first held against some
     pivots, which joins nearly all of a group of copies.  After that only pairs of different
     groups matter: members outside the block's largest group are held against all others of the
-    block that are not in their own group.
+    block that are not in their own group.  What they link are groups, so only the numbers of
+    groups are contracted once more.
     """
     def near(x, y):
         return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, width)),
@@ -167,12 +168,13 @@ def links_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
             .select("id", F.explode(F.filter(
                 "m", lambda p: (p["id"] != F.col("id")) & near(p["fp"], F.col("fp")))).alias("p"))
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
-    links = materialise(inside.unionByName(star).distinct(), "simhash-links")
+    roots = components(inside.unionByName(star).distinct())
+    placed = nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("root", "id").alias("root"))
     if not large.take(1):
-        return links
-    roots = components(links)
-    grouped = materialise(large.drop("size").join(roots, F.col("id") == F.col("node"), "left").select(
-        "n", "v", "id", "fp", F.coalesce("root", "id").alias("root")), "simhash-grouped")
+        return placed
+    placed = materialise(placed, "simhash-placed")
+    grouped = materialise(large.drop("size").join(placed, "id"), "simhash-grouped")
     main = (grouped.groupBy("n", "v", "root").agg(F.count("*").alias("c"))
             .groupBy("n", "v").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
     outside = grouped.join(main, ["n", "v"]).filter("root <> main").select(
@@ -180,8 +182,9 @@ def links_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
     # a pair of two members outside the largest group is seen once, from its larger number
     rest = (outside.join(grouped, ["n", "v"])
             .filter("root <> o_root and (root = main or id < o_id)").filter(near(F.col("fp"), F.col("o_fp")))
-            .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")))
-    return links.unionByName(rest).distinct()
+            .select(F.least("root", "o_root").alias("a"), F.greatest("root", "o_root").alias("b")))
+    merged = components(rest.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return placed.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -199,17 +202,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(best.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _not_stars(edges: DataFrame) -> DataFrame:
+    """Nodes that have two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("a").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .filter("up > 1 or (up = 1 and down = 1)"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from each node of ``edges`` (a < b) but roots."""
-    totals = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    """(node, root): the smallest node reachable from each node of ``edges`` (a < b) but roots.
+
+    Done when every component is a star: then its centre is its smallest node."""
     edges = materialise(edges, "simhash-edges")
-    before = edges.agg(*totals).first()
-    while before[0]:
+    while _not_stars(edges).take(1):
         edges = materialise(_small_star(_large_star(edges)), "simhash-edges")
-        now = edges.agg(*totals).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -257,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who"),
         fingerprints(F.col("text"), words, width).alias("fp")), "simhash-prints")
     nodes = _numbered(prints)
-    groups = _grouped(nodes, links_wide(nodes, width, int(max_differing * 64 * width), pieces, max_block))
+    groups = nodes.join(roots_wide(nodes, width, int(max_differing * 64 * width), pieces, max_block),
+                        "id").select("fp", "root")
     firsts = prints.groupBy("fp").agg(F.min("who").alias("who"))
     stay = (firsts.join(groups, "fp").groupBy("root").agg(F.min("who").alias("who"))
             .select("who.k1", "who.k2"))
