@@ -12,9 +12,11 @@ Copies (equal fingerprints) are one node, whatever their number.
   2r bits exactly if these balls meet, so linking each member to the smallest one of every ball
   centre loses no connection.
 * **Several words** (``roots_wide``).  A similarity of 0.8 lets 15 % of the bits differ, more than
-  any pigeonhole can promise with selective keys.  Every word gives its own blocks, so that close
-  pairs have many chances to share one; the check is the Hamming distance over all words.  In a
-  large block ``PIVOTS`` members join most of a group first; pairs across the groups that are left
+  any pigeonhole can promise with selective keys.  Each distinct shingle votes once.  Every word
+  gives its own blocks, so that close pairs have many chances to share one.  The Hamming distance
+  over all words only sorts out candidates; a pair is linked by the exact Jaccard similarity of its
+  shingle sets (``alike``).  At first each member is held against the first member of a block that
+  it shares most blocks with, which joins most of a group; pairs across the groups that are left
   are all verified.  Recall against exact similarity is named in the README.
 * **Components** are found on the numbers of distinct fingerprints with alternating star
   contractions, each round written to the shared checkpoint folder; one row a round reaches the driver.
@@ -36,9 +38,8 @@ from opsreliability.session import materialise
 SEED = 42
 #: Whole pieces that make one block key.
 KEEP = 2
-#: Members of a large block that every other member is compared with at first (several words only).
-#: It only sets what is left for the exact comparison across groups.
-PIVOTS = 4
+#: Hashes of a shingle set in one row: larger sets are cut by hash, into a power of two.
+PART = 8192
 #: Shingles hashed at a time: bounds the memory that a very long text takes.
 CHUNK = 255 << 8
 
@@ -55,29 +56,51 @@ def _mixed(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def fingerprint_of(text: str | None, words: int, width: int = 1) -> list[int]:
-    """SimHash of one text as signed 64-bit words; zeros without words."""
+def _shingles(text: str | None, words: int) -> tuple[int, Iterator[int]]:
+    """Number of shingles and their hashes: the whole text if it has fewer words, none without words."""
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not w:
-        return [0] * width
-    n = max(1, len(w) - words + 1)
+        return 0, iter(())
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    hashes = map(xxh64_intdigest, grams, repeat(SEED))
+    return max(1, len(w) - words + 1), map(xxh64_intdigest, grams, repeat(SEED))
+
+
+def _voted(n: int, hashes: Iterator[int], width: int) -> list[int]:
+    """Words whose bits are set in over half of the ``n`` hashes."""
     votes = np.zeros(64 * width, dtype=np.int64)
-    for at in range(0, n, CHUNK):
-        h = _mixed(np.fromiter(hashes, dtype="<u8", count=min(CHUNK, n - at)), width)
+    step = 255 * max(1, CHUNK // 255 // width)
+    for at in range(0, n, step):
+        h = _mixed(np.fromiter(hashes, dtype="<u8", count=min(step, n - at)), width)
         bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
         for row in range(0, len(bits), 255):  # sums of 255 bits fit a byte
             votes += bits[row:row + 255].sum(0, np.uint8)
     return np.packbits(2 * votes > n, bitorder="little").view("<i8").tolist()
 
 
-def fingerprints(text: Column, words: int, width: int = 1) -> Column:
+def fingerprint_of(text: str | None, words: int, width: int = 1) -> list[int]:
+    """SimHash of one text as signed 64-bit words; zeros without words."""
+    return _voted(*_shingles(text, words), width)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    n, hashes = _shingles(text, words)
+    return np.unique(np.fromiter(hashes, dtype="<u8", count=n))
+
+
+def set_print(text: str | None, words: int, width: int) -> list[int]:
+    """SimHash in which each distinct shingle votes once, then the size and the sum of the set: texts
+    with equal lists have equal sets."""
+    h = shingle_set(text, words)
+    return [*_voted(len(h), iter(h), width), len(h), int(h.sum(dtype=np.uint64).view(np.int64))]
+
+
+def fingerprints(text: Column, words: int, width: int = 1, of=fingerprint_of) -> Column:
     """SimHash of a text column as array<long>, in Arrow batches."""
     @F.pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint_of(t, words, width) for t in texts], dtype=object)
+            yield pd.Series([of(t, words, width) for t in texts], dtype=object)
 
     return run(text)
 
@@ -93,14 +116,15 @@ def _pieces(count: int) -> list[int]:
 
 
 def _blocks(nodes: DataFrame, words: list[Column], pieces: int) -> DataFrame:
-    """Rows (n, v, size, id) of all blocks that hold two distinct fingerprints or more.
+    """Rows (n, v, size, first, id) of all blocks that hold two distinct fingerprints or more.
 
     Only the numbers of the fingerprints are sent, since most blocks hold but one."""
     masks = [_signed(a | b) for a, b in combinations(_pieces(pieces), KEEP)]
     keys = F.array(*[F.struct(F.lit(i * len(masks) + n).alias("n"), w.bitwiseAND(m).alias("v"))
                      for i, w in enumerate(words) for n, m in enumerate(masks)])
     rows = nodes.select("id", F.explode(keys).alias("k")).select("id", "k.n", "k.v")
-    sizes = rows.groupBy("n", "v").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = rows.groupBy("n", "v").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    sizes = sizes.filter("size > 1")
     return rows.join(sizes, ["n", "v"])
 
 
@@ -140,50 +164,110 @@ def links_exact(nodes: DataFrame, max_bits: int = 2, max_block: int = 32) -> Dat
     return inside.unionByName(star).distinct()
 
 
-def roots_wide(nodes: DataFrame, width: int, max_bits: int, pieces: int = 5,
+def _set_rows(words: int, part: int):
+    """(id, text) to rows (id, lv, p, hs): the set in ``lv`` rows of about ``part`` hashes, and in half as
+    many, so that sets whose sizes differ by less than a factor of two have a cut in common."""
+    def cut(i: int, h: np.ndarray) -> Iterator[tuple]:
+        most = 1 << max(0, -(-len(h) // part) - 1).bit_length()
+        for lv in sorted({most, max(1, most // 2)}):
+            of = (h % np.uint64(lv)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            for p, hs in enumerate(np.split(h[order], np.searchsorted(of[order], np.arange(1, lv)))):
+                yield i, lv, p, hs.view(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for pdf in batches:
+            for i, t in zip(pdf["id"], pdf["text"]):
+                for row in cut(i, shingle_set(t, words)):
+                    rows.append(row)
+                    held += len(row[3]) + 1
+                    if held > 1 << 20:
+                        yield pd.DataFrame(rows, columns=["id", "lv", "p", "hs"])
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["id", "lv", "p", "hs"])
+
+    return run
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, size_at: int,
+          least: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` or more.
+
+    ``texts`` has k1, k2 and text, ``nodes`` the size of each set at ``size_at`` in ``fp``.  Sets are built
+    anew from the texts of the pairs alone; those of long texts are joined and counted in pieces."""
+    rows_less = F.ceil(F.col("n") / PART) - 1
+    sized = nodes.select("id", "who", F.get("fp", F.lit(size_at)).alias("n")).withColumn(
+        "lv", F.pow(F.lit(2), F.when(rows_less > 0, F.length(F.bin(rows_less))).otherwise(0)).cast("int"))
+    named = pairs
+    for c in ("a", "b"):
+        named = named.join(sized.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"),
+                                        F.col("lv").alias(f"lv{c}")), c)
+    named = materialise(named.filter(F.least("na", "nb") >= least * F.greatest("na", "nb")).select(
+        "a", "b", "na", "nb", F.least("lva", "lvb").alias("lv")), "simhash-pairs")
+    used = named.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    keys = sized.join(used, "id").select("id", "who.k1", "who.k2")
+    # rows that repeat id and text share their key
+    source = texts.join(keys, ["k1", "k2"]).select("id", "text").dropDuplicates(["id"])
+    sets = materialise(source.mapInPandas(_set_rows(words, PART), "id long, lv int, p int, hs array<long>"),
+                       "simhash-sets")
+    common = (named.join(sets.select(F.col("id").alias("a"), "lv", "p", F.col("hs").alias("ha")), ["a", "lv"])
+              .join(sets.select(F.col("id").alias("b"), "lv", "p", F.col("hs").alias("hb")), ["b", "lv", "p"])
+              .groupBy("a", "b", "na", "nb")
+              .agg(F.sum(F.size(F.array_intersect("ha", "hb"))).alias("both")))
+    return common.filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= least).select("a", "b")
+
+
+def roots_wide(nodes: DataFrame, width: int, max_bits: int, linked, pieces: int = 5,
                max_block: int = 32) -> DataFrame:
-    """(id, root) of every distinct array ``fp``: groups of what the pairs within ``max_bits`` of
-    all bits in common blocks connect.
-
-    Small blocks verify all pairs.  In a large block every member is first held against some
-    pivots, which joins nearly all of a group of copies.  After that only pairs of different
-    groups matter: members outside the block's largest group are held against all others of the
-    block that are not in their own group.  What they link are groups, so only the numbers of
-    groups are contracted once more.
+    """(id, root) of every distinct array ``fp``: groups of what the pairs in common blocks connect
+    that are within ``max_bits`` of all bits and that ``linked`` (rows a, b to rows a, b) confirms.
+
+    Each member is held against the first member of its blocks with which it shares most of them.
+    That joins most of a group of copies at little cost.  After that only pairs of different
+    groups matter.  Blocks of up to ``max_block`` verify all of those; in a larger one, members
+    outside the block's largest group are held against all others of the block that are not in
+    their own group.  What they link are groups, so only the numbers of groups are contracted
+    once more.
     """
-    def near(x, y):
-        return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, width)),
-                   F.bit_count(x[0].bitwiseXOR(y[0]))) <= max_bits
-
-    blocks = materialise(_blocks(nodes, [F.col("fp")[i] for i in range(width)], pieces)
-                         .join(nodes, "id"), "simhash-blocks")
-    inside = _pairs_inside(blocks.filter(F.col("size") <= max_block), near)
-    large = blocks.filter(F.col("size") > max_block)
-    # the members with the smallest hashes: min_by keeps one per salt, so the list is bounded
-    order = F.xxhash64("n", "v", "id")
-    pivots = (large.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(PIVOTS)))
-              .groupBy("n", "v", "salt").agg(F.min_by(F.struct("id", "fp"), order).alias("p"))
-              .groupBy("n", "v").agg(F.collect_list("p").alias("m")))
-    star = (large.join(pivots, ["n", "v"])
-            .select("id", F.explode(F.filter(
-                "m", lambda p: (p["id"] != F.col("id")) & near(p["fp"], F.col("fp")))).alias("p"))
-            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")))
-    roots = components(inside.unionByName(star).distinct())
-    placed = nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select(
-        "id", F.coalesce("root", "id").alias("root"))
-    if not large.take(1):
-        return placed
-    placed = materialise(placed, "simhash-placed")
-    grouped = materialise(large.drop("size").join(placed, "id"), "simhash-grouped")
-    main = (grouped.groupBy("n", "v", "root").agg(F.count("*").alias("c"))
+    def close(pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("id").alias(c), F.col("fp").alias(f"f{c}")), c)
+        bits = [F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(width)]
+        return pairs.filter(sum(bits[1:], bits[0]) <= max_bits).drop("fa", "fb")
+
+    blocks = materialise(_blocks(nodes, [F.col("fp")[i] for i in range(width)], pieces), "simhash-blocks")
+    nearest = (blocks.filter("first <> id").groupBy("first", "id").agg(F.count("*").alias("c"))
+               .groupBy("id").agg(F.max(F.struct("c", "first")).alias("m"))
+               .select(F.col("m.first").alias("a"), F.col("id").alias("b")))
+    roots = components(linked(close(nearest)))
+    placed = materialise(nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("root", "id").alias("root")), "simhash-placed")
+    grouped = blocks.join(placed, "id")
+    mixed = (grouped.groupBy("n", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+             .filter("low < high").select("n", "v"))
+    grouped = materialise(grouped.join(mixed, ["n", "v"]).select("n", "v", "size", "id", "root"),
+                          "simhash-grouped")
+    lists = (grouped.filter(F.col("size") <= max_block).groupBy("n", "v")
+             .agg(F.collect_list(F.struct("id", "root")).alias("m")))
+    inside = lists.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter(
+        "m", lambda y: (y["id"] > F.col("x.id")) & (y["root"] != F.col("x.root")))).alias("y")).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    large = grouped.filter(F.col("size") > max_block).drop("size")
+    main = (large.groupBy("n", "v", "root").agg(F.count("*").alias("c"))
             .groupBy("n", "v").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
-    outside = grouped.join(main, ["n", "v"]).filter("root <> main").select(
-        "n", "v", "main", *[F.col(c).alias(f"o_{c}") for c in ("id", "fp", "root")])
+    outside = large.join(main, ["n", "v"]).filter("root <> main").select(
+        "n", "v", "main", F.col("id").alias("o_id"), F.col("root").alias("o_root"))
     # a pair of two members outside the largest group is seen once, from its larger number
-    rest = (outside.join(grouped, ["n", "v"])
-            .filter("root <> o_root and (root = main or id < o_id)").filter(near(F.col("fp"), F.col("o_fp")))
-            .select(F.least("root", "o_root").alias("a"), F.greatest("root", "o_root").alias("b")))
-    merged = components(rest.distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    across = (outside.join(large, ["n", "v"])
+              .filter("root <> o_root and (root = main or id < o_id)")
+              .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")))
+    rest = linked(close(inside.unionByName(across).distinct()))
+    for c in ("a", "b"):
+        rest = rest.join(placed.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c)
+    rest = rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    merged = components(rest).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return placed.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
@@ -248,11 +332,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          words: int = 5, width: int = 8, max_differing: float = 0.15,
-                         pieces: int = 5, max_block: int = 32) -> DataFrame:
+                         pieces: int = 5, max_block: int = 32, least: float = 0.8) -> DataFrame:
     """Keep one row of each near-duplicate group, with all its columns.
 
-    A share of differing bits of 0.15 is the angle of two equally long shingle sets with a
-    similarity of 0.8.  The row with the smallest id stays, rows without an id coming last; of
+    Two texts are linked if the Jaccard similarity of their sets of shingles is ``least`` or more.  Only
+    pairs that share a block and differ in at most ``max_differing`` of the bits are held against each
+    other (0.15 is the angle of two equally large sets with a similarity of 0.8).  The row with the smallest id stays, rows without an id coming last; of
     repeated ids the one with the smallest text hash; of wholly repeated rows one.  Null and empty
     texts are copies of each other.
     """
@@ -262,12 +347,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = narrow(d, "doc_id", "text")
     prints = materialise(keyed.select(
         F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("who"),
-        fingerprints(F.col("text"), words, width).alias("fp")), "simhash-prints")
-    nodes = _numbered(prints)
-    groups = nodes.join(roots_wide(nodes, width, int(max_differing * 64 * width), pieces, max_block),
-                        "id").select("fp", "root")
-    firsts = prints.groupBy("fp").agg(F.min("who").alias("who"))
-    stay = (firsts.join(groups, "fp").groupBy("root").agg(F.min("who").alias("who"))
+        fingerprints(F.col("text"), words, width, set_print).alias("fp")), "simhash-prints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("who").alias("who")).withColumn(
+        "id", F.monotonically_increasing_id()), "simhash-nodes")
+    groups = roots_wide(nodes, width, int(max_differing * 64 * width),
+                        lambda pairs: alike(pairs, nodes, keyed.select("k1", "k2", "text"), words, width, least),
+                        pieces, max_block)
+    stay = (nodes.select("id", "who").join(groups, "id").groupBy("root").agg(F.min("who").alias("who"))
             .select("who.k1", "who.k2"))
     key = {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")}
     kept = d.withColumns(key).join(stay, ["k1", "k2"])

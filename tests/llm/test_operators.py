@@ -98,6 +98,25 @@ def test_large_blocks_of_near_copies_give_the_same_groups(spark):
     assert kept[0] == kept[1] and {0, 40, 80} <= set(kept[0]) and len(kept[0]) < 12
 
 
+def test_near_duplicates_with_repeated_phrases_follow_their_sets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 64)  # sets of more shingles are joined in pieces
+
+    def text(tag, phrase, times, n=120):
+        w, p = [f"{tag}{i}" for i in range(n)], [f"{phrase}{i}" for i in range(5)]
+        return " ".join(w[:60] + p * times + w[60:])
+    long = [f"l{i}" for i in range(700)]
+    rows = [text("a", "p", 15), text("b", "p", 15), text("c", "p", 20), text("d", "p", 20),
+            text("e", "q", 2), text("e", "q", 20), " ".join(long), " ".join(long + ["x y z"] * 20)]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    kept = []
+    for i, s in enumerate(sets):
+        if all(len(s & sets[k]) / len(s | sets[k]) < 0.8 for k in range(i)):
+            kept.append(i)
+    assert kept == [0, 1, 2, 3, 4, 6]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == kept
+
+
 @pytest.mark.parametrize("group", [50_000, 40])
 def test_packing(docs, empty, given, group):
     import public_tokenizers
