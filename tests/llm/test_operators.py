@@ -117,6 +117,21 @@ def test_near_duplicates_with_repeated_phrases_follow_their_sets(spark, monkeypa
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == kept
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    r, rows = np.random.default_rng(11), []
+    while len(rows) < 100:
+        n = int(r.integers(200, 600))
+        w = [f"d{len(rows)}w{i}" for i in range(n)]
+        v = list(w)
+        for k in r.choice(n, n // 45, replace=False):
+            v[k] = f"new{k}"
+        a, b = ({tuple(x[i:i + 5]) for i in range(n - 4)} for x in (w, v))
+        if 0.8 <= len(a & b) / len(a | b) < 0.84:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 50 <= len(kept) <= 52 and {x.doc_id for x in kept} >= set(range(0, 100, 2))
+
+
 @pytest.mark.parametrize("group", [50_000, 40])
 def test_packing(docs, empty, given, group):
     import public_tokenizers
