@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and identifiers found by their contexts; DataFrame functions only.
 
 The fixed patterns give the base spans, which are the seeds.  Candidates are runs of words with a
-digit or an at sign; the two words before one are its lexical pattern.  Patterns and instances form
-a graph that is scored in rounds: a pattern is worth the mean score of its instances (shrunk by
-``DOUBT`` instances of no worth), an instance the best of its patterns, seeds stay at 1.  Candidates
-whose instance ends above ``ACCEPT`` become spans of the kind that their pattern stands for.
+digit or an at sign; the two words before one are its lexical pattern, in which earlier runs count as
+one word ``OTHER`` each.  Patterns and instances form a graph that is scored in rounds: a pattern is
+worth the mean score of its instances (shrunk by ``DOUBT`` instances of no worth), an instance the best
+of its patterns, seeds stay at 1.  Instances of ``ACCEPT`` or more count as seeds of further patterns, and
+rounds go on until no more are accepted.  Their candidates become spans of the kind that their
+pattern stands for.
 
 Every text is read once.  The graph holds distinct (pattern, instance) edges, added up before each
 shuffle; both its tables grow with the candidates, not with the words.
@@ -31,11 +33,13 @@ _S = r"\x20\x09-\x0D"
 _TOKEN = rf"[^{_S}0-9@]*+[0-9@][^{_S}]*+"
 #: A run of words that each have a digit or an at sign.
 CANDIDATE = rf"(?<![^{_S}]){_TOKEN}(?:[{_S}]++{_TOKEN})*+"
-#: Characters before a candidate in which its pattern is looked for.
+#: Characters before a candidate in which its pattern is looked for first; all are if that shows too few words.
 NEAR = 80
+#: What stands for an earlier run in a pattern: no other word there has a digit.
+OTHER = "0"
 #: Digits that a candidate without an at sign must have.
 LEAST_DIGITS = 6
-#: Rounds of scoring, worthless instances added to each pattern, seeds a pattern needs, and the
+#: Least rounds of scoring, worthless instances added to each pattern, seeds a pattern needs, and the
 #: score from which a candidate is taken.
 ROUNDS, DOUBT, SEEDS, ACCEPT = 3, 1.0, 3, 0.75
 
@@ -67,23 +71,45 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(9, 15)
 
 
-def _placed(text: Column, pattern: str, keep) -> Column:
+def _last_words(p: Column) -> Column:
+    """The last words of a text, two at least if it has them."""
+    def words(x: Column) -> Column:
+        return F.filter(F.split(x, rf"[{_S}]+"), lambda w: w != "")
+
+    return let(words(F.right(p, F.lit(NEAR))), lambda near: F.when(
+        (F.size(near) > 2) | (F.length(p) <= NEAR), near).otherwise(words(p)))
+
+
+def _placed(text: Column, pattern: str, keep, context: bool = False) -> Column:
     """Matches as structs (start, end, m, before): leftmost, not overlapping, in code points.
 
-    Splitting at the pattern gives the text between its matches, so places are running sums."""
+    Splitting at the pattern gives the text between its matches, so places are running sums.  With
+    ``context``, ``before`` has the last two words before a match, earlier matches being ``OTHER``."""
+    def last_two(words: Column) -> Column:
+        return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+
     def places(matches: Column) -> Column:
         between = F.split(text, pattern, -1)
         both = F.zip_with(between, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
         none = F.array().cast("array<struct<start:int,end:int,m:string,before:string>>")
-        state = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("tail"), none.alias("out"))
 
         def step(a: Column, x: Column) -> Column:
             start = a["at"] + F.length(x["p"])
             end = start + F.length(x["m"])
-            one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"),
-                           F.right(x["p"], F.lit(NEAR)).alias("before"))
-            return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(a["out"], F.array(one)))
-                            .otherwise(a["out"]).alias("out"))
+            if not context:
+                one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.lit("").alias("before"))
+                return F.struct(end.alias("at"), a["tail"].alias("tail"), F.when(
+                    keep(x["m"]), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+            def with_words(words: Column) -> Column:
+                one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"),
+                               F.array_join(words, " ").alias("before"))
+                return F.struct(end.alias("at"), last_two(F.concat(words, F.array(F.lit(OTHER)))).alias("tail"),
+                                F.when(keep(x["m"]), F.concat(a["out"], F.array(one))).otherwise(a["out"])
+                                .alias("out"))
+
+            return let(last_two(F.concat(a["tail"], _last_words(x["p"]))), with_words)
 
         paired = F.filter(both, lambda x: x["m"].isNotNull())
         return F.when(F.size(matches) > 0, F.aggregate(paired, state, step)["out"]).otherwise(none)
@@ -106,7 +132,7 @@ def parsed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return m.contains("@") | (F.length(_digits(m)) >= LEAST_DIGITS)
 
     return d.select("k1", "k2", "doc_id", F.sort_array(F.concat(*base)).alias("base"),
-                    _placed(F.col("text"), CANDIDATE, like).alias("seen"))
+                    _placed(F.col("text"), CANDIDATE, like, context=True).alias("seen"))
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -123,7 +149,9 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def score_instances(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind, score) of unknown instances above ``ACCEPT``: one row each, the best kind."""
+    """(instance, kind, score) of unknown instances of ``ACCEPT`` or more: one row each, the best kind.
+
+    After ``rounds`` rounds it goes on as long as a round accepts more instances than any before."""
     edges = materialise(cands.filter("pattern <> ''").groupBy("pattern", "instance")
                         .agg(F.max("kind").alias("kind")), "pii-edges")
     degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
@@ -131,9 +159,10 @@ def score_instances(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         "instance", "kind", F.lit(1.0).alias("score"))
     seeds = materialise(seeds, "pii-seeds")
     state = seeds
-    for _ in range(rounds):
+    done, most, more = 0, 0, True
+    while done < rounds or more:
         worth = (edges.select("pattern", "instance").join(state, "instance").groupBy("pattern", "kind")
-                 .agg(F.sum("score").alias("mass"), F.sum((F.col("score") == 1).cast("int")).alias("seeds"))
+                 .agg(F.sum("score").alias("mass"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("seeds"))
                  .filter(F.col("seeds") >= SEEDS).join(degree, "pattern")
                  .select("pattern", "kind", (F.col("mass") / (F.col("n") + DOUBT)).alias("worth")))
         fresh = (edges.filter("kind is null").join(worth.withColumnRenamed("kind", "as_kind"), "pattern")
@@ -141,6 +170,8 @@ def score_instances(cands: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                  .select("instance", (-F.col("b.k")).alias("kind"), F.col("b.worth").alias("score")))
         fresh = fresh.join(seeds.select("instance"), "instance", "left_anti")
         state = materialise(seeds.unionByName(fresh), "pii-round")
+        accepted = state.filter(F.col("score") >= ACCEPT).count()
+        done, most, more = done + 1, max(most, accepted), accepted > most
     return state.join(seeds.select("instance"), "instance", "left_anti").filter(F.col("score") >= ACCEPT)
 
 

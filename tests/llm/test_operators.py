@@ -261,6 +261,20 @@ def test_pii_base_and_contexts(spark, docs, empty):
     assert pii.find(docs).count() == len(ROWS) and pii.find(empty).count() == 0
 
 
+def test_pii_discovered_instances_and_second_numbers_make_patterns(spark):
+    rows = [f"please call number +1 (555) 010-{1000 + i} today" for i in range(200)]
+    rows += [f"please call number 555-010-{2000 + i} today" for i in range(30)]
+    rows += [f"you reach desk 555-010-{2000 + i} today" for i in range(30)] + ["you reach desk 555-010-9999 today"]
+    rows += [f"ring +1 (555) 011-{1000 + i} or +1 (555) 012-{1000 + i} now" for i in range(12)]
+    rows += ["ring +1 (555) 013-1000 or 555-010-8888 now", f"we{' ' * 90}call number 555-010-7777"]
+    rows += [f"in 2021 write +1 (555) 014-{1000 + i}" for i in range(12)] + ["in 2021 write 555-010-6666"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {rows[r.doc_id]: r.spans.split(",") for r in pii.find(d).collect()}
+    assert got["you reach desk 555-010-9999 today"] == ["phone:15:27"]
+    assert got["ring +1 (555) 013-1000 or 555-010-8888 now"] == ["phone:5:22", "phone:26:38"]
+    assert got["in 2021 write 555-010-6666"] == ["phone:14:26"] and got[f"we{' ' * 90}call number 555-010-7777"] != [""]
+
+
 def test_quality_rules(spark, docs, empty):
     good = " ".join(f"word{i}" for i in range(80))
     rows = [(i, good, "fine") for i in range(40)] + [(100 + i, "too short", "bad") for i in range(60)]
