@@ -100,4 +100,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND r.source IS NULL AS kept
 FROM f LEFT JOIN rejected r USING (source)"""
 
-ORACLE = {"op4_substring_dedup": OP4, "op3_line_dedup": OP3, "op8_decontamination": OP8, "op10_quality_rules": OP10}
+OP11 = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (
+  SELECT *, len(w)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2,
+         ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM t),
+f AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                      OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS u, greatest(h1 % (n + 1), h2 % (n + 1)) AS v FROM h),
+p AS (
+  SELECT *, array_to_string(w[1:u], '') AS x, array_to_string(w[u + 1:v], '') AS y,
+         array_to_string(w[v + 1:n], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y
+                        ELSE '<P>' || x || '<S>' || z || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+OP13 = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                                  '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM pieces))
+  GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+parts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cuts AS (
+  SELECT parts.lang, parts.phrase, a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
+  FROM parts JOIN f AS x ON x.lang = parts.lang AND x.phrase = parts.x
+  JOIN f AS y ON y.lang = parts.lang AND y.phrase = parts.y),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS outer_a
+  FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM c)) GROUP BY ALL),
+ranked AS (
+  SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM lowest LEFT JOIN inner_ USING (lang, phrase)
+  WHERE outer_a IS NULL OR 100::HUGEINT * outer_a < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {"op11_fill_in_middle": OP11, "op13_collocations": OP13, "op4_substring_dedup": OP4, "op3_line_dedup": OP3, "op8_decontamination": OP8, "op10_quality_rules": OP10}

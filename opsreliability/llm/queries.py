@@ -6,8 +6,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opsreliability.llm import (decontaminate, license_scan, line_dedup, packing, pii, quality_rules,
-                                sharding, simhash, substring_dedup, toxicity)
+from opsreliability.llm import (collocations, decontaminate, fim, license_scan, line_dedup, neighbours, packing,
+                                pii, quality_rules, sharding, simhash, substring_dedup, toxicity)
 from opsreliability.llm.checks import ORACLE  # noqa: F401
 from opsreliability.llm.common import result
 
@@ -76,10 +76,28 @@ def op10_quality_rules(spark, folder):
                   n_dup_lines="long", n_repeat_words="long", base_failed="boolean", kept="boolean")
 
 
+def op11_fill_in_middle(spark, folder):
+    out = fim.fill_in_middle(_docs(spark, folder), with_text=False)
+    return result(out, doc_id="long", n="long", form="string", prefix_chars="long", middle_chars="long",
+                  output_sha256="string", restored_sha256="string")
+
+
+def op12_nearest_neighbours(spark, folder):
+    out = neighbours.nearest(_docs(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+    return result(out, query_id="long", rank="int", vec_id="long", score="double")
+
+
+def op13_collocations(spark, folder):
+    out = collocations.collocations(_docs(spark, folder))
+    return result(out, lang="string", rank="long", phrase="string", a="long", l="long", r="long", n="long",
+                  score="long")
+
+
 def pipeline(spark, folder):
     return import_module("corpus_pipeline").run(spark, folder)
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_line_dedup, op4_substring_dedup,
                                    op5_toxicity, op6_license_scan, op7_sharding,
-                                   op8_decontamination, op9_pii, op10_quality_rules, pipeline)}
+                                   op8_decontamination, op9_pii, op10_quality_rules, op11_fill_in_middle,
+                                   op12_nearest_neighbours, op13_collocations, pipeline)}
