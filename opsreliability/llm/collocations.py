@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opsreliability.session import materialise
@@ -29,7 +30,7 @@ MAX_WORDS = 4
 LEAST = 30
 TOP = 2000
 #: Words laid out at a time in one task.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A slot is hot from so many suffixes, and so many times the mean, on.
 HOT_SUFFIXES, HOT_TIMES = 50_000, 4
 #: Partitions of the last ranking by language; each hands on TOP rows at most.
@@ -119,13 +120,22 @@ def route(code: np.ndarray, columns: list[np.ndarray], slots: int) -> np.ndarray
 
 
 def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndarray, kind: str) -> Iterator[tuple]:
-    """One row a slot: the words it uses, numbers into them, weights if any."""
-    order = np.argsort(slot.astype(np.uint16) if len(slot) and slot.max() < 1 << 16 else slot, kind="stable")
+    """One row a slot: the words it uses, numbers into them, weights if any, compressed."""
+    if not len(slot):
+        return
+    # rows with the same leading words next to each other: their columns compress to little
+    lead = columns[1].astype(np.int64)
+    if len(columns) > 2 and (int(slot.max()) + 1) * len(names) ** 2 < 1 << 62:
+        lead = lead * len(names) + columns[2]
+        order = np.argsort(slot * len(names) ** 2 + lead)
+    else:
+        order = np.lexsort((lead, slot))
     slot = slot[order]
-    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else []
+    starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     used, place = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int32)
-    table = np.stack([c[order] for c in columns]) if len(slot) else None
+    table = np.stack([c[order] for c in columns])
     weights = None if weights is None else weights[order]
+    small = zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(starts, [*starts[1:], len(slot)]):
         part = table[:, a:b]
         used[part.ravel()] = True
@@ -134,8 +144,8 @@ def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndar
         used[words] = False
         place[words] = np.arange(len(words))
         local = place[part].astype("<u2" if len(words) < 1 << 16 else "<u4")
-        yield (int(slot[a]), kind, b - a, b"\n".join(names[words]), local.tobytes(),
-               None if weights is None else weights[a:b].astype("<i8").tobytes())
+        yield (int(slot[a]), kind, b - a, small(b"\n".join(names[words])), small(local.tobytes()),
+               None if weights is None else small(weights[a:b].astype("<i8").tobytes()))
 
 
 def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -143,12 +153,13 @@ def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray |
     names: dict[bytes, int] = {b".": 0}
     tables, weights = [], []
     plain = all(w is None for w in rows.weights)
+    whole = zstandard.ZstdDecompressor().decompress
     for n, words, ids, w in zip(rows.n, rows.words, rows.ids, rows.weights):
-        words = words.split(b"\n")
+        words, ids = whole(words).split(b"\n"), whole(ids)
         place = np.fromiter((names.setdefault(x, len(names)) for x in words), np.int32, len(words))
         local = np.frombuffer(ids, dtype="<u2" if len(words) < 1 << 16 else "<u4").reshape(-1, n)
         tables.append(place[local])
-        weights.append(np.ones(n, np.int64) if w is None else np.frombuffer(w, dtype="<i8"))
+        weights.append(np.ones(n, np.int64) if w is None else np.frombuffer(whole(w), dtype="<i8"))
     return (np.array(list(names), dtype=object), np.concatenate(tables, axis=1),
             None if plain else np.concatenate(weights))
 
