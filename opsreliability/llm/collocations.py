@@ -135,7 +135,7 @@ def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndar
     used, place = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int32)
     table = np.stack([c[order] for c in columns])
     weights = None if weights is None else weights[order]
-    small = zstandard.ZstdCompressor(level=1).compress
+    small = zstandard.ZstdCompressor(level=3).compress
     for a, b in zip(starts, [*starts[1:], len(slot)]):
         part = table[:, a:b]
         used[part.ravel()] = True
@@ -144,7 +144,9 @@ def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndar
         used[words] = False
         place[words] = np.arange(len(words))
         local = place[part].astype("<u2" if len(words) < 1 << 16 else "<u4")
-        yield (int(slot[a]), kind, b - a, small(b"\n".join(names[words])), small(local.tobytes()),
+        # low bytes first, then high bytes: common words have small numbers
+        planes = local.view(np.uint8).reshape(-1, local.itemsize).T
+        yield (int(slot[a]), kind, b - a, small(b"\n".join(names[words])), small(planes.tobytes()),
                None if weights is None else small(weights[a:b].astype("<i8").tobytes()))
 
 
@@ -155,9 +157,11 @@ def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray |
     plain = all(w is None for w in rows.weights)
     whole = zstandard.ZstdDecompressor().decompress
     for n, words, ids, w in zip(rows.n, rows.words, rows.ids, rows.weights):
-        words, ids = whole(words).split(b"\n"), whole(ids)
+        words = whole(words).split(b"\n")
+        wide = 2 if len(words) < 1 << 16 else 4
+        ids = np.ascontiguousarray(np.frombuffer(whole(ids), np.uint8).reshape(wide, -1).T)
         place = np.fromiter((names.setdefault(x, len(names)) for x in words), np.int32, len(words))
-        local = np.frombuffer(ids, dtype="<u2" if len(words) < 1 << 16 else "<u4").reshape(-1, n)
+        local = ids.view(f"<u{wide}").reshape(-1, n)
         tables.append(place[local])
         weights.append(np.ones(n, np.int64) if w is None else np.frombuffer(whole(w), dtype="<i8"))
     return (np.array(list(names), dtype=object), np.concatenate(tables, axis=1),
@@ -241,7 +245,7 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, least: int,
     """(lang, phrase, words, f) of all phrases of 1 to MAX_WORDS words found ``least`` times or more, and
     (lang, n): all occurrences of words."""
     spark = docs.sparkSession
-    slots = slots or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
