@@ -38,6 +38,11 @@ REMEMBERED = 300_000
 LONG_WORD = 60
 #: Runs of white space that may form tokens across a space or a line feed.
 _RUNS = re.compile(r"\s[ \n]|[ \n]\s")
+#: White space as the token pattern knows it: a run this long is cut out before encoding.
+SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 10_000
+_LONG_RUNS = re.compile(SPACE + "{%d,}" % LONG_RUN)
+END_OF_TEXT = "<|endoftext|>"
 _WORDS: dict[str, bytes] = {}
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
@@ -50,10 +55,15 @@ def encoder(path: str) -> tiktoken.Encoding:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding(
             "byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-            special_tokens={"<|endoftext|>": 50256})
+            special_tokens={END_OF_TEXT: 50256})
     return _ENCODERS[path]
 
 
+def run_ids(run: str, enc: tiktoken.Encoding) -> bytes:
+    """Ids of a text that is one token text of the pattern, whatever its length."""
+    return np.array(enc._encode_single_piece(run), dtype="<u4").tobytes()
+
+
 def token_bytes(text: str | None, enc: tiktoken.Encoding) -> bytes:
     """Ids as little-endian 32-bit numbers.
 
@@ -64,10 +74,21 @@ def token_bytes(text: str | None, enc: tiktoken.Encoding) -> bytes:
     def ids(s: str) -> bytes:
         return np.array(enc.encode(s, allowed_special="all"), dtype="<u4").tobytes()
 
+    def runs(s: str) -> Iterator[bytes]:
+        """The pattern takes a run of white space as one token text, but for its last character if
+        another follows; matching long runs would overflow its stack, so they are cut out here."""
+        at = 0
+        for m in _LONG_RUNS.finditer(s):
+            end = m.end() - (m.end() < len(s) and not s.startswith(END_OF_TEXT, m.end()))
+            yield ids(s[at:m.start()])
+            yield run_ids(s[m.start():end], enc)
+            at = end
+        yield ids(s[at:])
+
     if not text:
         return b""
     if _RUNS.search(text):
-        return ids(text)
+        return b"".join(runs(text))
     words = text.replace("\n", " \n").split(" ")
     first, words = words[0], words[1:]
     try:
@@ -85,7 +106,7 @@ def token_bytes(text: str | None, enc: tiktoken.Encoding) -> bytes:
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str) -> DataFrame:
-    """(k1, k2, doc_id, piece, start, length, ids_crc32, copy): the pieces of every row."""
+    """(k1, k2, doc_id, piece, start, length, ids_crc32): the pieces of every row."""
     d = narrow(docs, id_col, text_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +179,7 @@ def best_fit(sizes: Counter, capacity: int) -> list[list[int]]:
 
 def _pack_group(pdf: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     """Bin and offset of every piece of one group; bin -1 for pieces handed on."""
-    pdf = pdf.sort_values(["length", "k1", "k2", "piece"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["length", "k1", "k2", "piece", "number"], kind="stable").reset_index(drop=True)
     queues = {int(s): list(i)[::-1] for s, i in pdf.groupby("length", sort=False).groups.items()}
     sizes = Counter({s: len(i) for s, i in queues.items()})
     bins = best_fit(sizes, capacity)
@@ -192,8 +213,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     schema = ("k1 long, k2 long, doc_id long, piece int, start long, length long, ids_crc32 long, "
-              "grp long, bin long, offset long")
-    rest = materialise(pieces_of(docs, id_col, text_col, capacity, path), "pack-pieces")
+              "number long, grp long, bin long, offset long")
+    # repeated rows are told apart by number, so that no group is larger than the others
+    rest = materialise(pieces_of(docs, id_col, text_col, capacity, path).withColumn(
+        "number", F.monotonically_increasing_id()), "pack-pieces")
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # full pieces are full sequences; their numbers are negative
     done = rest.filter(F.col("length") == capacity).select(
@@ -206,12 +229,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         if not groups:
             break
         last = groups == 1 or round_ == rounds
-        named = rest.withColumn("grp", F.pmod(F.xxhash64(F.lit(round_), "k1", "k2", "piece"), F.lit(groups)))
+        named = rest.withColumn("grp", F.pmod(F.xxhash64(F.lit(round_), "number"), F.lit(groups)))
         packed = materialise(named.groupBy("grp").applyInPandas(_packer(capacity, last), schema),
                              "pack-round")
-        number = F.lit(round_ << 58) + F.col("grp") * F.lit(1 << 20) + F.col("bin")
+        # a group has fewer bins than pieces, and far fewer pieces than 2^24
+        sequence = F.lit(round_ << 58) + F.col("grp") * F.lit(1 << 24) + F.col("bin")
         done = done.unionByName(packed.filter("bin >= 0").select(
-            *kept, number.alias("sequence_id"), "offset"))
+            *kept, sequence.alias("sequence_id"), "offset"))
         rest = packed.filter("bin < 0").drop("grp", "bin", "offset")
         left = rest.count()
     return done

@@ -160,6 +160,29 @@ def test_special_token_and_odd_spaces_encode_alike():
         assert packing.token_bytes(t, enc) == want
 
 
+def test_long_runs_of_white_space_encode_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path, n = public_tokenizers.path("byte_bpe_50k.json"), 2_000_000
+    tok, enc = Tokenizer.from_file(path), packing.encoder(path)
+    for t in (" " * n + "x", "\n" * n, "a\t" + "\t" * n + " b  c", " \n\t\u3000" * (n // 8) + "y",
+              "a" + " " * 20_000 + "<|endoftext|>" + "\t" * 20_000 + "\x1c" * 20_000 + " z"):
+        want = np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.token_bytes(t, enc) == want
+
+
+def test_packing_of_repeated_rows_and_long_runs(spark):
+    rows = [(None, "one two three")] * 300 + [(7, "a b c d e f g h")] * 300 + [(1, " " * 1_500_000 + "x")]
+    d = spark.createDataFrame([(i, t, 0, "b") for i, t in rows], "doc_id long, text string, bin int, grp string")
+    got = packing.pack(d.repartition(4), group=50).toPandas().sort_values(["sequence_id", "offset"])
+    ends = got.groupby("sequence_id").length.cumsum()
+    assert (ends - got.length == got.offset).all() and ends.max() <= 1024
+    assert (got.doc_id.isna().sum(), (got.doc_id == 7).sum()) == (300, 300)
+    assert got[got.doc_id == 1].length.sum() == 1_500_001
+    bound = packing.lower_bound(Counter(got.length.tolist()), 1024)
+    assert bound <= got.sequence_id.nunique() <= bound + 12 + 1
+
+
 def test_lower_bound_never_exceeds_packing():
     r = np.random.default_rng(1)
     for _ in range(20):
@@ -175,6 +198,31 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(docs).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("named", [0, 1, 20, 50])
+def test_line_dedup_with_many_null_ids(spark, named):
+    rows = [(i if i < named else None, f"the same long line\nown line number {i // 2}") for i in range(60)]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, first int")
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(d).collect())
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    want = Counter()
+    for i, t in rows:
+        kept = [x for x in t.split("\n") if first[x] == i]
+        want[(i, 2, 2 - len(kept), "\n".join(kept))] += 1
+    assert got == want
+    assert line_dedup.replace_lines(d).count() == len(rows)
+
+
+def test_line_dedup_near_the_largest_id(spark):
+    top = (1 << 63) - 1
+    d = spark.createDataFrame([(top - i % 3, f"some long line {i % 2}") for i in range(12)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(d, batches=5)
+    assert sorted({(top - r.doc_id, r.kept_text) for r in got.filter("n_dropped = 0").collect()}) == [
+        (2, "some long line 0"), (2, "some long line 1")]
+
+
 def test_substring_dedup(docs, empty, given):
     d = given[0].select("doc_id", "text").filter("doc_id > 20").unionByName(docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in d.collect()]
@@ -300,6 +348,18 @@ def test_pipeline_stages_take_effect(spark):
     assert out.select("doc_id").distinct().count() == before
 
 
+def test_pipeline_takes_null_ids_copies_and_long_runs(spark):
+    good = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    copies = good.limit(40)
+    runs = good.limit(1).withColumn("text", F.concat(F.expr("repeat(' ', 1200000)"), "text"))
+    odd = good.withColumn("doc_id", F.lit(None).cast("long")).unionByName(copies).unionByName(copies).unionByName(runs)
+    for docs in (odd, good.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, FOLDER)
+            assert docs.columns == good.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= docs.count()
+
+
 def test_queries_give_each_document_once(spark):
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op1_simhash", "op4_substring_dedup", "op9_pii", "op10_quality_rules"):
