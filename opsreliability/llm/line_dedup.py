@@ -94,11 +94,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(k1, k2, drop): the places of the lines that each row loses.
 
     Batches are ranges of ids in ascending order (split at approximate quantiles, equal ids
-    together), so the smallest document of a line is always in the first batch that has it.
+    together), so the smallest document of a line is always in the first batch that has it.  Rows
+    without an id have no part in the quantiles; they are in the last batch.
     """
     lines = materialise(line_hashes(narrow(docs, id_col, text_col), min_key), "line-hashes")
-    cuts = sorted(set(lines.approxQuantile("owner", [i / batches for i in range(1, batches)], 0.01)))
-    edges = [None, *(int(c) for c in cuts), None]
+    named = lines.filter(F.col("owner") < LAST_ID)
+    cuts = named.approxQuantile("owner", [i / batches for i in range(1, batches)], 0.01)
+    # quantiles are doubles: of ids near the largest long they may lie beyond it
+    edges = [None, *sorted({min(int(c), LAST_ID - 1) for c in cuts}), None]
     runs, drops = LineRuns(docs.sparkSession, fanout), None
     for low, high in zip(edges, edges[1:]):
         part = lines
