@@ -111,25 +111,35 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _pieces(count: int) -> list[int]:
-    """Masks that cut 64 bits into ``count`` pieces."""
+def _pieces(count: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each of ``count`` pieces of 64 bits."""
     cuts = [64 * i // count for i in range(count + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
 def _blocks(nodes: DataFrame, words: Column, pieces: int) -> DataFrame:
-    """Rows (n, v, size, first, id) of all blocks that hold two distinct fingerprints or more.
-
-    Only the numbers of the fingerprints are sent, since most blocks hold but one."""
-    masks = [_signed(a | b) for a, b in combinations(_pieces(pieces), KEEP)]
+    """Rows (key, size, first, id) of all blocks that hold two distinct fingerprints or more.
+
+    A key is the number of word and choice, then the bits of the chosen pieces.  Keys and numbers are
+    shuffled once: sizes are counted where the rows then lie, and joined there."""
+    if pieces < 2 * KEEP:
+        raise ValueError(f"{2 * KEEP} pieces at least, so that a key fits 64 bits")
+    chosen = list(combinations(_pieces(pieces), KEEP))
+    room = max(sum(n for _, n in c) for c in chosen)
     # one word a row, so that the plan does not grow with their number
     each = nodes.select("id", F.posexplode(words).alias("i", "w"))
-    keys = F.array(*[F.struct((F.col("i") * len(masks) + n).alias("n"), F.col("w").bitwiseAND(m).alias("v"))
-                     for n, m in enumerate(masks)])
-    rows = each.select("id", F.explode(keys).alias("k")).select("id", "k.n", "k.v")
-    sizes = rows.groupBy("n", "v").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    sizes = sizes.filter("size > 1")
-    return rows.join(sizes, ["n", "v"])
+
+    def key(n: int, choice) -> Column:
+        value = F.lit(0).cast("long")
+        for low, bits in choice:
+            value = F.shiftleft(value, bits).bitwiseOR(
+                F.shiftrightunsigned("w", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        return F.shiftleft(F.col("i").cast("long") * len(chosen) + n, room).bitwiseOR(value)
+
+    keys = F.array(*[key(n, c) for n, c in enumerate(chosen)])
+    rows = each.select("id", F.explode(keys).alias("key")).repartition("key")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    return rows.join(sizes.filter("size > 1"), "key")
 
 
 def _numbered(prints: DataFrame) -> DataFrame:
@@ -140,7 +150,7 @@ def _numbered(prints: DataFrame) -> DataFrame:
 
 def _pairs_inside(blocks: DataFrame, near) -> DataFrame:
     """Close pairs of small blocks.  A block is one row with its bounded list of members."""
-    lists = blocks.groupBy("n", "v").agg(F.collect_list(F.struct("id", "fp")).alias("m"))
+    lists = blocks.groupBy("key").agg(F.collect_list(F.struct("id", "fp")).alias("m"))
     return lists.select(F.explode("m").alias("x"), "m").select(
         "x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & near(y["fp"], F.col("x.fp"))))
         .alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
@@ -250,22 +260,22 @@ def roots_wide(nodes: DataFrame, width: int, max_bits: int, linked, pieces: int
     placed = materialise(nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select(
         "id", F.coalesce("root", "id").alias("root")), "simhash-placed")
     grouped = blocks.join(placed, "id")
-    mixed = (grouped.groupBy("n", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-             .filter("low < high").select("n", "v"))
-    grouped = materialise(grouped.join(mixed, ["n", "v"]).select("n", "v", "size", "id", "root"),
+    mixed = (grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+             .filter("low < high").select("key"))
+    grouped = materialise(grouped.join(mixed, "key").select("key", "size", "id", "root"),
                           "simhash-grouped")
-    lists = (grouped.filter(F.col("size") <= max_block).groupBy("n", "v")
+    lists = (grouped.filter(F.col("size") <= max_block).groupBy("key")
              .agg(F.collect_list(F.struct("id", "root")).alias("m")))
     inside = lists.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter(
         "m", lambda y: (y["id"] > F.col("x.id")) & (y["root"] != F.col("x.root")))).alias("y")).select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = grouped.filter(F.col("size") > max_block).drop("size")
-    main = (large.groupBy("n", "v", "root").agg(F.count("*").alias("c"))
-            .groupBy("n", "v").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
-    outside = large.join(main, ["n", "v"]).filter("root <> main").select(
-        "n", "v", "main", F.col("id").alias("o_id"), F.col("root").alias("o_root"))
+    main = (large.groupBy("key", "root").agg(F.count("*").alias("c"))
+            .groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main")))
+    outside = large.join(main, "key").filter("root <> main").select(
+        "key", "main", F.col("id").alias("o_id"), F.col("root").alias("o_root"))
     # a pair of two members outside the largest group is seen once, from its larger number
-    across = (outside.join(large, ["n", "v"])
+    across = (outside.join(large, "key")
               .filter("root <> o_root and (root = main or id < o_id)")
               .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")))
     rest = linked(close(inside.unionByName(across).distinct()))
