@@ -238,8 +238,8 @@ def roots_wide(nodes: DataFrame, width: int, max_bits: int, linked, pieces: int
     """(id, root) of every distinct array ``fp``: groups of what the pairs in common blocks connect
     that are within ``max_bits`` of all bits and that ``linked`` (rows a, b to rows a, b) confirms.
 
-    Each member is held against the first member of its blocks with which it shares most of them.
-    That joins most of a group of copies at little cost.  After that only pairs of different
+    Each member is held against the first member of a block, and against the member that lies in the
+    most and largest blocks, choosing those with which it shares most blocks.  That joins most of a group of copies at little cost.  After that only pairs of different
     groups matter.  Blocks of up to ``max_block`` verify all of those; in a larger one, members
     outside the block's largest group are held against all others of the block that are not in
     their own group.  What they link are groups, so only the numbers of groups are contracted
@@ -253,9 +253,18 @@ def roots_wide(nodes: DataFrame, width: int, max_bits: int, linked, pieces: int
         return pairs.filter(F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= max_bits).drop("fa", "fb")
 
     blocks = materialise(_blocks(nodes, F.slice("fp", 1, width), pieces), "simhash-blocks")
-    nearest = (blocks.filter("first <> id").groupBy("first", "id").agg(F.count("*").alias("c"))
-               .groupBy("id").agg(F.max(F.struct("c", "first")).alias("m"))
-               .select(F.col("m.first").alias("a"), F.col("id").alias("b")))
+    # the text that others were made from lies in the most and largest blocks of its group
+    weight = blocks.groupBy("id").agg(F.sum("size").alias("weight"))
+    central = (blocks.join(weight, "id").groupBy("key")
+               .agg(F.max_by("id", F.struct("weight", "id")).alias("central")))
+
+    def best(rows: DataFrame, other: str) -> DataFrame:
+        """Each member with the one ``other`` of its blocks with which it shares most of them."""
+        return (rows.filter(F.col(other) != F.col("id")).groupBy(other, "id").agg(F.count("*").alias("c"))
+                .groupBy("id").agg(F.max(F.struct("c", other)).alias("m"))
+                .select(F.least(f"m.{other}", "id").alias("a"), F.greatest(f"m.{other}", "id").alias("b")))
+
+    nearest = best(blocks, "first").unionByName(best(blocks.join(central, "key"), "central")).distinct()
     roots = components(linked(close(nearest)))
     placed = materialise(nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select(
         "id", F.coalesce("root", "id").alias("root")), "simhash-placed")
