@@ -6,6 +6,7 @@ from opsreliability.catalog.base import query, view
 from opsreliability.catalog.evaluation import scored
 from opsreliability.catalog.features import features
 from opsreliability.catalog.marts import PROFILE_SPEC  # noqa: F401
+from opsreliability.operators import boost as B
 from opsreliability.operators import evaluate as EV
 from opsreliability.operators import explain as EX
 from opsreliability.operators import features as FE
@@ -26,10 +27,10 @@ def splits(t, where="completed = 1"):
     return [FE.load_split(f, s, where=where) for s in ("train", "valid", "test")]
 
 
-def report(model, valid, test, label, calibrate=None):
+def report(model, valid, test, label, calibrate=None, predict=L.predict):
     """Test metrics at the validation F1 threshold."""
-    v = cut_lineage(L.predict(model, valid, keep=[label]))
-    e = cut_lineage(L.predict(model, test, keep=[label]))
+    v = cut_lineage(predict(model, valid, keep=[label]))
+    e = cut_lineage(predict(model, test, keep=[label]))
     if calibrate:
         v, e = calibrate(v, v), calibrate(v, e)
         v, e = cut_lineage(v), cut_lineage(e)
@@ -52,8 +53,28 @@ def _(t):
 @query("ml4_boosted", REPORT)
 def _(t):
     tr, va, te = splits(t)
-    m = L.fit_boosted(tr, va, FE.CATEGORIES, TREE_NUMS, "arr_del15", trees=8, depth=4)
-    return report(m, va, te, "arr_del15")
+    m = B.fit_stopped(tr, va, FE.CATEGORIES, TREE_NUMS, "arr_del15")
+    return report(m, va, te, "arr_del15", predict=B.BoostedTrees.predict)
+
+
+@query("ml4_early_stop",
+       "n_train:l n_valid:l prior_loss:r6 rounds_after_best:i best_is_lowest:b never_above_prior:b",
+       """SELECT (SELECT count(arr_del15) FROM base WHERE split = 'train' AND completed = 1) AS n_train,
+       count(1) AS n_valid, -avg(CASE arr_del15 WHEN 1 THEN ln(r) ELSE ln(1 - r) END) AS prior_loss,
+       10 AS rounds_after_best, true AS best_is_lowest, true AS never_above_prior
+       FROM base, (SELECT avg(arr_del15) AS r FROM base WHERE split = 'train' AND completed = 1)
+       WHERE split = 'valid' AND completed = 1 AND arr_del15 IS NOT NULL""")
+def _(t):
+    """Growing ends by the validation loss, ten trees after its lowest value, which it keeps."""
+    tr, va, _ = splits(t)
+    m = B.fit_stopped(tr, va, FE.CATEGORIES, TREE_NUMS, "arr_del15", patience=10)
+    loss = [h["valid_loss"] for h in m.history]
+    n = [d.where("arr_del15 IS NOT NULL").count() for d in (tr, va)]
+    best = len(m.trees)
+    return t.spark.createDataFrame(
+        [(*n, loss[0], len(loss) - 1 - best, loss[best] == min(loss), loss[best] <= loss[0])],
+        "n_train long, n_valid long, prior_loss double, rounds_after_best int, best_is_lowest boolean, "
+        "never_above_prior boolean")
 
 
 @query("ml5_tuned_boosted", "depth:i min_rows:i sample:d step:d feature_share:s roc_auc:r6")

@@ -65,7 +65,7 @@ def row_checks() -> list[Check]:
                      "completed = 1 AND arr_delay_min IS NOT NULL"), "<=", 0.0005),
         Check("delay_causes_sum_to_arrival_delay", "consistency",
               _share(f"abs({causes} - arr_delay_min) > 1", "arr_del15 = 1"), "<=", 0.01, True,
-              "BTS attributes cause minutes for flights arriving 15+ min late"),
+              "cause minutes are only reported from a delay of 15 minutes on"),
         Check("positive_distance_and_block_time", "validity",
               _number("distance_mi <= 0 OR crs_elapsed_min <= 0"), "==", 0),
         Check("taxi_out_plausible_0_240", "validity",
