@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from opsreliability.catalog.base import query, view
 from opsreliability.catalog.evaluation import TEST, score_tables
 from opsreliability.catalog.features import PROFILES, TE_SPEC, features, train
+from opsreliability.operators import artefacts as AF
+from opsreliability.session import cut_lineage, shared_folder
 from opsreliability.catalog.relational import calendar
 from opsreliability.operators import features as FE
 from opsreliability.operators import sampling as SA
@@ -49,7 +51,7 @@ def requests(t):
 
 
 def checked(t):
-    return SC.validate_requests(requests(t), t.staged, FE.route_profile(train(t)))
+    return SC.validate_requests(requests(t), SC.known_codes(t.staged), FE.route_profile(train(t)))
 
 
 @query("sc1_validate_requests",
@@ -84,10 +86,11 @@ _keys = {"route": "a.route", "carrier_origin": "a.carrier || '-' || a.origin",
          "flight": "a.carrier || '-' || a.flight_number"}
 
 
-@query("sc2_request_features",
+SC2_SPEC = (
        "leg_key:s dep_hour:i arr_hour:i crs_dep_min_of_day:i day_of_week:i is_weekend:i "
        "days_to_holiday:i sched_speed_mpm:r6 origin_sched_deps_day:r6 origin_sched_deps_hour:r6 "
-       "dest_sched_arrs_hour:r6 carrier_sched_day:r6 " + TE_SPEC,
+       "dest_sched_arrs_hour:r6 carrier_sched_day:r6 " + TE_SPEC)
+SC2_SQL = (
        "SELECT leg_key, dep_hour, arr_hour, crs_dep_min_of_day, day_of_week, "
        "(day_of_week > 5)::INT AS is_weekend, coalesce((SELECT days_to_holiday FROM cal c WHERE "
        "c.flight_date = a.flight_date), 30) AS days_to_holiday, "
@@ -102,14 +105,53 @@ _keys = {"route": "a.route", "carrier_origin": "a.carrier || '-' || a.origin",
          "AS carrier_sched_day, "
        + ", ".join(f"{_enc(k, e, x)} AS te_{k}_{x}" for k, e in _keys.items()
                    for x in ("delay", "cancel")) + " FROM asked a")
+
+
+@query("sc2_request_features", SC2_SPEC, SC2_SQL)
 def _(t):
-    tr = train(t)
-    prof = {n: FE.schedule_profile(features(t).where("split = 'train'"), by, cols)
-            for n, (by, cols) in PROFILES.items()}
-    enc = {k: FE.te_lookup(tr, c) for k, c in FE.TE_KEYS.items()}
+    tables = AF.lookups(features(t).where("split = 'train'"), t.staged, train(t), calendar(t))
     ok = checked(t).where("reject_reason IS NULL")
-    return SC.request_features(ok, prof["origin"], prof["dest"], prof["carrier"], enc,
-                               FE.priors(tr), calendar(t))
+    return SC.request_features(ok, tables, {k: tables[f"encoding_{k}"] for k in FE.TE_KEYS}, tables["priors"],
+                               tables["calendar"])
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def store(t):
+    """Folder of the artefacts fitted on the given tables, written once per session and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORES:
+        root = shared_folder(t.spark, "artefacts")
+        AF.save(t.spark, AF.fit(features(t), t.staged, train(t), calendar(t)), root)
+        _STORES[key] = root
+    return _STORES[key]
+
+
+@query("sc2_features_from_store", SC2_SPEC, SC2_SQL)
+def _(t):
+    """The same features from the saved lookups, without a look at the training tables."""
+    return AF.features_of(AF.load(t.spark, store(t)), requests(t))
+
+
+@query("sc3_sc4_store_bounds",
+       "route:s scored:l bad_probabilities:l crossing_quantiles:l flags_off:l base_rate:r6 ratios_off:l",
+       """SELECT route, count(1) AS scored, 0 AS bad_probabilities, 0 AS crossing_quantiles, 0 AS flags_off,
+       (SELECT cancel FROM prior) AS base_rate, 0 AS ratios_off FROM asked GROUP BY route""")
+def _(t):
+    """Scores of a loaded version, held against what they must satisfy, by route."""
+    a = AF.load(t.spark, store(t))
+
+    def off(condition):
+        return F.count(F.when(~F.coalesce(condition, F.lit(False)), 1))
+
+    return AF.score(a, requests(t)).groupBy("route").agg(
+        F.count("*").alias("scored"),
+        off(F.col("p_delay").between(0, 1) & F.col("p_cancel").between(0, 1)).alias("bad_probabilities"),
+        off(F.col("delay_minutes_p50") <= F.col("delay_minutes_p90")).alias("crossing_quantiles"),
+        off(F.col("predicted_delayed") == (F.col("p_delay") >= a.threshold)).alias("flags_off"),
+        F.max("baseline_rate").alias("base_rate"),
+        off(F.abs(F.col("relative_risk") * F.col("baseline_rate") - F.col("p_cancel")) < 1e-9).alias("ratios_off"))
 
 
 view("score_rows", """SELECT leg_key, flight_date, carrier, origin, dest, route, dep_hour, year_month,
@@ -143,33 +185,13 @@ def _(t):
 @query("sc3_sc4_model_scores",
        "leg_key:s p_delay:r6 risk_band:s delay_minutes_p50:r4 delay_minutes_p90:r4 p_cancel:r6")
 def _(t):
-    """Fitted models end to end: requests to features to calibrated scores."""
-    from opsreliability.catalog.learning import CATS, NUMS, TREE_NUMS
-    from opsreliability.operators import learn as L
-    from opsreliability.session import cut_lineage
-    f = features(t)
-    tr = f.where("split = 'train'")
-    done = tr.where("completed = 1")
-    prof = {n: FE.schedule_profile(tr, by, cols) for n, (by, cols) in PROFILES.items()}
-    enc = {k: FE.te_lookup(tr, c) for k, c in FE.TE_KEYS.items()}
-    x = cut_lineage(SC.request_features(
-        checked(t).where("reject_reason IS NULL"), prof["origin"], prof["dest"], prof["carrier"],
-        enc, FE.priors(tr), calendar(t)))
-    delay = L.fit_logistic(done, CATS, NUMS, "arr_del15", max_iter=20)
-    cancel = L.fit_logistic(tr, CATS, NUMS, "cancelled", balanced=True, max_iter=20)
-    minutes = L.fit_quantile_tree(done, FE.CATEGORIES, TREE_NUMS, "arr_delay_min", depth=3)
-    valid = f.where("split = 'valid'")
-    iso = L.fit_isotonic(L.predict(delay, valid.where("completed = 1")), "arr_del15", "p")
-    platt = L.fit_platt(L.predict(cancel, valid), "cancelled", "p")
-    d = L.apply_isotonic(iso, L.predict(delay, x, "p0"), "p0", "p_delay")
-    d = L.apply_platt(platt, L.predict(cancel, d, "p1"), "p1", "p_cancel")
-    return SC.delay_outputs(L.predict_quantiles(minutes, d), 0.5, "p_delay")
+    """Fitted models end to end: a saved version, loaded; requests to features to calibrated scores."""
+    return AF.score(AF.load(t.spark, store(t)), requests(t))
 
 
 @query("sc5_score_export", "leg_key:s delay_prob:r6 delay_pred:i",
        "SELECT leg_key, delay_prob, delay_pred FROM scores_delay")
 def _(t):
-    from opsreliability.session import shared_folder
     from opsreliability.sources.sinks import write_parquet
     _, delay, _ = score_tables(t)
     return t.spark.read.parquet(write_parquet(delay, shared_folder(t.spark, "scores")))

@@ -13,11 +13,11 @@ from opsreliability.operators.sampling import keep_top_groups
 
 view("daily", f"""SELECT origin_state AS series, flight_date, count(1) AS scheduled_departures,
     {rnd('avg(arr_del15)', 5)} AS arr_delay_rate FROM legs GROUP BY origin_state, flight_date""")
-view("top3", """SELECT series FROM daily GROUP BY series
-  ORDER BY sum(scheduled_departures) DESC, series LIMIT 3""")
+view("top10", """SELECT series FROM daily GROUP BY series
+  ORDER BY sum(scheduled_departures) DESC, series LIMIT 10""")
 view("grid", """SELECT g.series, g.flight_date, d.scheduled_departures, d.arr_delay_rate FROM (
     SELECT series, CAST(unnest(generate_series(min(flight_date), max(flight_date), INTERVAL 1 DAY))
-      AS DATE) AS flight_date FROM daily WHERE series IN (SELECT series FROM top3) GROUP BY series) g
+      AS DATE) AS flight_date FROM daily WHERE series IN (SELECT series FROM top10) GROUP BY series) g
   LEFT JOIN daily d USING (series, flight_date)""")
 
 
@@ -53,7 +53,7 @@ TARGETS = {"volume": "scheduled_departures", "rate": "arr_delay_rate"}
 
 
 def daily(t):
-    return SE.top_series(SE.daily_series(t.staged, "origin_state"), 3)
+    return SE.top_series(SE.daily_series(t.staged, "origin_state"), 10)
 
 
 def x(t, n):
@@ -83,7 +83,7 @@ def _(t):
 
 
 @query("se1_top_series", "series:s flight_date:s scheduled_departures:l arr_delay_rate:r5",
-       "SELECT * FROM daily WHERE series IN (SELECT series FROM top3)")
+       "SELECT * FROM daily WHERE series IN (SELECT series FROM top10)")
 def _(t):
     return daily(t)
 
@@ -136,7 +136,7 @@ def _(t):
 
 view("next7", """SELECT t.series, m.last + CAST(k AS INT) AS flight_date,
     d.scheduled_departures AS forecast
-  FROM top3 t, (SELECT max(flight_date) AS last FROM daily) m, range(1, 8) r(k)
+  FROM top10 t, (SELECT max(flight_date) AS last FROM daily) m, range(1, 8) r(k)
   LEFT JOIN daily d ON d.series = t.series AND d.flight_date = m.last + CAST(k AS INT) - 7""")
 
 
@@ -251,19 +251,19 @@ view("site_day", f"""SELECT flight_date, origin AS airport_code, count(1) AS sch
     {rnd('''sum(weather_delay_min) / nullif(sum(carrier_delay_min + weather_delay_min +
     nas_delay_min + security_delay_min + late_aircraft_delay_min), 0)''', 5)} AS weather_share
   FROM legs GROUP BY flight_date, origin""")
-view("busy10", """SELECT airport_code FROM site_day GROUP BY 1
-  ORDER BY sum(scheduled_departures) DESC, 1 LIMIT 10""")
+view("busy30", """SELECT airport_code FROM site_day GROUP BY 1
+  ORDER BY sum(scheduled_departures) DESC, 1 LIMIT 30""")
 _own = lambda c: f"{c} - median({c}) OVER (PARTITION BY airport_code)"
 view("site_rel", "SELECT airport_code, flight_date, scheduled_departures, " + ", ".join(
     f"ifnull({_own(c)}, 0) AS {c}" for c in ("arr_delay_rate", "cancellation_rate",
                                              "avg_dep_delay_min", "avg_taxi_out_min"))
     + """, scheduled_departures / median(scheduled_departures) OVER (PARTITION BY airport_code)
     AS volume_ratio, ifnull(weather_share, 0) AS weather_share
-  FROM site_day WHERE airport_code IN (SELECT airport_code FROM busy10)""")
+  FROM site_day WHERE airport_code IN (SELECT airport_code FROM busy30)""")
 
 
 def site_days(t):
-    d = keep_top_groups(M.daily_airport(t.staged), "airport_code", "scheduled_departures", 10)
+    d = keep_top_groups(M.daily_airport(t.staged), "airport_code", "scheduled_departures", 30)
     return d.withColumn("row_key", S.key("airport_code", "flight_date"))
 
 
@@ -278,7 +278,19 @@ def _(t):
 
 @query("an6_isolation_forest", REL + " anomaly_score:r6 is_anomaly:i")
 def _(t):
-    return AN.isolation_forest(AN.relative_features(site_days(t)), trees=100)
+    return AN.isolation_forest(AN.relative_features(site_days(t)))
+
+
+@query("an6_flag_share", "site_days:l share_off:b scores_off:l flagged_below_others:b",
+       "SELECT count(1) AS site_days, false AS share_off, 0 AS scores_off, false AS flagged_below_others FROM site_rel")
+def _(t):
+    """Two in a hundred site days are flagged, those with the highest scores."""
+    d = AN.isolation_forest(AN.relative_features(site_days(t)))
+    s, flag = F.col("anomaly_score"), F.col("is_anomaly") == 1
+    return d.agg(F.count("*").alias("site_days"),
+                 (F.abs(F.avg("is_anomaly") - 0.02) > 0.002).alias("share_off"),
+                 F.count(F.when(~F.coalesce((s > 0) & (s < 1), F.lit(False)), 1)).alias("scores_off"),
+                 (F.min(F.when(flag, s)) <= F.max(F.when(~flag, s))).alias("flagged_below_others"))
 
 
 @query("an7_flag_contrast",

@@ -183,37 +183,67 @@ def _expected_path(n: int) -> float:
     return 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], row_key: str, trees: int = 300,
-               psi: int = 256, seed: int = 42) -> DataFrame:
-    """Node table of an isolation forest: at most trees * 2 * psi rows.
+def _ranks(h: np.ndarray, tree: int) -> np.ndarray:
+    """The place of rows in the draw of a tree: their hash, mixed anew for each tree."""
+    x = h + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    Each tree sees ``psi`` rows.  Rows are dealt to trees by hash, so a tree's group holds about
-    1.5 * psi rows however large the table is; trees are grown in parallel, one per group.
+def tree_samples(df: DataFrame, features: Sequence[str], row_key: str, trees: int, psi: int,
+                 seed: int) -> DataFrame:
+    """(tree, rank, key, features): of each tree the rows that may be among its ``psi`` smallest ranks.
+
+    A task keeps the ``psi`` smallest of each tree while its rows go by, so it holds and hands on trees * psi
+    rows at most; the smallest of these lists, merged by tree, are the sample.  Ranks depend on seed, tree and
+    row key alone: any partitioning gives the same sample.
     """
-    n = df.count()
-    share = 1.5 * trees * psi / max(n, 1)
-    copies = max(1, int(np.ceil(share)))
-    h = lambda *c: F.pmod(F.xxhash64(F.lit(seed), row_key, *c), F.lit(1_000_000))
-    d = df.select(row_key, *features)
-    if share < 1:
-        kept = F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_key), 11)  # 53 bits
-        d = d.where(kept < int(share * (1 << 53)))
-    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    d = d.withColumn("tree", (h("_copy", F.lit("tree")) % trees).cast("int"))
-    d = d.withColumn("_o", F.xxhash64(row_key, "_copy", F.lit(seed))).dropDuplicates(
-        ["tree", row_key])
-    limit = int(np.ceil(np.log2(psi)))
     names = list(features)
+    d = df.select(F.col(row_key).cast("string").alias("_key"), F.xxhash64(F.lit(seed), row_key).alias("_h"),
+                  *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    xs = [f"x{i}" for i in range(len(names))]
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pd.DataFrame(columns=["rank", "_key", *xs])] * trees
+        for b in batches:
+            if not len(b):
+                continue
+            h = b["_h"].to_numpy(np.int64).view(np.uint64)
+            for t in range(trees):
+                r = _ranks(h, t)
+                edge = held[t]["rank"].iloc[-1] if len(held[t]) == psi else None
+                low = np.flatnonzero(r <= edge) if edge is not None else np.arange(len(r))
+                if len(low) > psi:
+                    low = low[np.argpartition(r[low], psi - 1)[:psi]]
+                if len(low):
+                    new = b.iloc[low][["_key", *xs]].assign(rank=r[low])
+                    both = pd.concat([held[t], new]) if len(held[t]) else new
+                    held[t] = both.sort_values(["rank", "_key"]).head(psi)
+        for t, rows in enumerate(held):
+            if len(rows):
+                ranks = rows["rank"].to_numpy(np.uint64) >> np.uint64(1)  # fits a long
+                yield rows.assign(tree=t, rank=ranks.view(np.int64))[["tree", "rank", "_key", *xs]]
+
+    kinds = ", ".join(f"{x} double" for x in xs)
+    return d.mapInPandas(keep, f"tree int, rank long, _key string, {kinds}")
+
+
+def fit_forest(df: DataFrame, features: Sequence[str], row_key: str, trees: int = 300,
+               psi: int = 256, seed: int = 42) -> DataFrame:
+    """Node table of an isolation forest: at most trees * 2 * psi rows, grown in parallel, a tree a group."""
+    limit = int(np.ceil(np.log2(psi)))
+    xs = [f"x{i}" for i in range(len(features))]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values(["_o", row_key])[names].to_numpy(float)[:psi]
+        x = pdf.sort_values(["rank", "_key"])[xs].to_numpy(float)[:psi]
         nodes = _grow(x, limit, np.random.default_rng((seed, t)))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "lo", "hi", "path"])
         out.insert(0, "tree", t)
         return out.assign(size=len(x))
 
-    return d.groupBy("tree").applyInPandas(
+    return tree_samples(df, features, row_key, trees, psi, seed).groupBy("tree").applyInPandas(
         grow, "tree int, node int, feature int, cut double, lo int, hi int, path double, size int")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +26,23 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
     return requests.withColumns(up).withColumn("route", S.key("origin", "dest"))
 
 
-def validate_requests(requests: DataFrame, legs: DataFrame, routes: DataFrame) -> DataFrame:
+CODES = ("carrier", "origin", "dest")
+
+
+def known_codes(legs: DataFrame) -> DataFrame:
+    """(kind, code) of all carriers, origins and destinations, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("code")) for c in CODES])
+    return legs.select(F.explode(pairs).alias("k")).select("k.*").where("code IS NOT NULL").distinct()
+
+
+def validate_requests(requests: DataFrame, codes: DataFrame, routes: DataFrame) -> DataFrame:
     """Requests with their route defaults and the first reason against scoring them, if any.
 
-    ``legs`` gives the known codes, ``routes`` the usual distance and block time per route.
+    ``codes`` are the ``known_codes``, ``routes`` the usual distance and block time per route.
     """
     d = normalise_requests(requests)
-    for c in ("carrier", "origin", "dest"):
-        known = legs.select(F.col(c)).distinct().withColumn(f"_known_{c}", F.lit(True))
+    for c in CODES:
+        known = codes.where(F.col("kind") == c).select(F.col("code").alias(c), F.lit(True).alias(f"_known_{c}"))
         d = d.join(known, c, "left")
     usual = routes.select("route", F.col("distance_mi").alias("_dist"),
                           F.col("crs_elapsed_min").alias("_block"))
@@ -50,21 +61,37 @@ def validate_requests(requests: DataFrame, legs: DataFrame, routes: DataFrame) -
         "_known_carrier", "_known_origin", "_known_dest", "_dist", "_block")
 
 
-def _profile(d: DataFrame, table: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """Given value, else mean over the keys, else median over the first key, else overall."""
-    given = f"_given_{col}"
-    by_keys = table.groupBy(*keys).agg(F.avg(col).alias(col))
-    by_first = table.groupBy(keys[0]).agg(F.median(col).alias(col))
+#: Schedule counts that a request may leave open: profile table and keys that stand in for them.
+PROFILE_KEYS = {"origin_sched_deps_day": ("origin", ["origin", "day_of_week"]),
+                "origin_sched_deps_hour": ("origin", ["origin", "day_of_week", "dep_hour"]),
+                "dest_sched_arrs_hour": ("dest", ["dest", "day_of_week", "arr_hour"]),
+                "carrier_sched_day": ("carrier", ["carrier", "day_of_week"])}
+
+
+def profile_levels(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """<count>_keys, <count>_first and <count>_all: the mean over the keys, the median over the first key and
+    over everything, for each schedule count."""
+    out = {}
+    for col, (name, keys) in PROFILE_KEYS.items():
+        t = tables[name]
+        out[f"{col}_keys"] = t.groupBy(*keys).agg(F.avg(col).alias(col))
+        out[f"{col}_first"] = t.groupBy(keys[0]).agg(F.median(col).alias(col))
+        out[f"{col}_all"] = t.agg(F.median(col).alias(col))
+    return out
+
+
+def _filled(d: DataFrame, levels: Mapping[str, DataFrame], col: str) -> DataFrame:
+    """Given value, else the first level that has one."""
+    given, keys = f"_given_{col}", PROFILE_KEYS[col][1]
     d = lookup_chain(d.withColumnRenamed(col, given),
-                     [(by_keys, keys), (by_first, [keys[0]])], [col],
-                     table.agg(F.median(col).alias(col)))
+                     [(levels[f"{col}_keys"], keys), (levels[f"{col}_first"], [keys[0]])], [col],
+                     levels[f"{col}_all"])
     return d.withColumn(col, F.coalesce(F.col(given).cast("double"), col)).drop(given)
 
 
-def request_features(valid: DataFrame, origin_profile: DataFrame, dest_profile: DataFrame,
-                     carrier_profile: DataFrame, encodings: dict[str, DataFrame],
+def request_features(valid: DataFrame, levels: Mapping[str, DataFrame], encodings: Mapping[str, DataFrame],
                      priors: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Model features of valid requests from the lookup tables."""
+    """Model features of valid requests from the lookup tables (``levels``: ``profile_levels``)."""
     dep = S.hhmm_to_minute("crs_dep_time")
     guess = F.floor((F.col("crs_dep_min_of_day") + F.col("crs_elapsed_min")) / 60) % 24
     arr = F.when(F.col("crs_arr_time").isNotNull(), S.hhmm_to_hour("crs_arr_time")).otherwise(guess)
@@ -77,10 +104,8 @@ def request_features(valid: DataFrame, origin_profile: DataFrame, dest_profile:
     cal = calendar.select("flight_date", "days_to_holiday")
     d = d.join(cal, "flight_date", "left").withColumn(
         "days_to_holiday", F.coalesce("days_to_holiday", F.lit(30)))
-    d = _profile(d, origin_profile, ["origin", "day_of_week"], "origin_sched_deps_day")
-    d = _profile(d, origin_profile, ["origin", "day_of_week", "dep_hour"], "origin_sched_deps_hour")
-    d = _profile(d, dest_profile, ["dest", "day_of_week", "arr_hour"], "dest_sched_arrs_hour")
-    d = _profile(d, carrier_profile, ["carrier", "day_of_week"], "carrier_sched_day")
+    for col in PROFILE_KEYS:
+        d = _filled(d, levels, col)
     keys = {"route": F.col("route"), "carrier_origin": S.key("carrier", "origin"),
             "flight": S.key("carrier", "flight_number")}
     for name, key in keys.items():
