@@ -223,6 +223,16 @@ def _(t):
     return AN.stl(d, "series", "flight_date", ["arr_delay_rate"])
 
 
+@query("an2_stl_parts", "series:s days:l parts_off:l",
+       "SELECT series, count(1) AS days, 0 AS parts_off FROM grid GROUP BY series")
+def _(t):
+    """Parts of the volume of each series, decomposed in ranges of days: they add up, and none is missing."""
+    d = AN.stl_ranges(SE.densify(daily(t)), "series", "flight_date", "scheduled_departures", cycles=60)
+    whole = F.abs(F.col("seasonal") + F.col("trend") + F.col("resid") - F.col("value")) < 1e-6
+    return d.groupBy("series").agg(F.count("*").alias("days"), F.count(
+        F.when(~F.coalesce(whole, F.lit(False)), 1)).alias("parts_off"))
+
+
 @query("an3_robust_z", "flight_date:s z0:r6 z1:r6", "SELECT * FROM net_z")
 def _(t):
     return net_z(t)

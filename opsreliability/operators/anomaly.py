@@ -26,8 +26,10 @@ def logit_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ STL
 
-def _loess(y: np.ndarray, q: int, at: np.ndarray, rw: np.ndarray) -> np.ndarray:
-    """Local linear fit with tricube and robustness weights on an even grid, at points ``at``."""
+def _loess(y: np.ndarray, q: int, at: np.ndarray, rw: np.ndarray, whole: int | None = None) -> np.ndarray:
+    """Local linear fit with tricube and robustness weights on an even grid, at points ``at``.
+
+    ``whole`` is the length of the series that ``y`` is a range of."""
     n = len(y)
     m = min(q, n)
     left = np.clip(np.round(at - (m - 1) / 2).astype(int), 0, n - m)
@@ -40,7 +42,7 @@ def _loess(y: np.ndarray, q: int, at: np.ndarray, rw: np.ndarray) -> np.ndarray:
     w = np.where(total > 0, w / np.where(total > 0, total, 1), 1.0 / m)
     mean = (w * idx).sum(1, keepdims=True)
     spread = (w * (idx - mean) ** 2).sum(1, keepdims=True)
-    slope = np.where(np.sqrt(spread) > 0.001 * n, (at[:, None] - mean)
+    slope = np.where(np.sqrt(spread) > 0.001 * (whole or n), (at[:, None] - mean)
                      / np.where(spread > 0, spread, 1), 0.0)
     return (w * (1 + slope * (idx - mean)) * y[idx]).sum(1)
 
@@ -50,6 +52,32 @@ def _moving_average(x: np.ndarray, k: int) -> np.ndarray:
     return (c[k:] - c[:-k]) / k
 
 
+def _smoothed(y: np.ndarray, trend: np.ndarray, rw: np.ndarray, period: int, seasonal: int, inner: int,
+              whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seasonal and trend after ``inner`` rounds from a given trend; ``whole``: length of the series."""
+    n = len(y)
+    odd = lambda v: int(np.ceil(v)) | 1
+    q_trend, q_low = odd(1.5 * period / (1 - 1.5 / seasonal)), odd(period + 1)
+    at = np.arange(n, dtype=float)
+    seas = np.zeros(n)
+    for _ in range(inner):
+        cycle = np.empty(n + 2 * period)
+        d = y - trend
+        for p in range(period):
+            sub, w = d[p::period], rw[p::period]
+            cycle[p::period] = _loess(sub, seasonal, np.arange(-1.0, len(sub) + 1), w, -(-(whole - p) // period))
+        low = _moving_average(_moving_average(_moving_average(cycle, period), period), 3)
+        seas = cycle[period:period + n] - _loess(low, q_low, at, np.ones(n), whole)
+        trend = _loess(y - seas, q_trend, at, rw, whole)
+    return seas, trend
+
+
+def _robustness(resid: np.ndarray, median: float) -> np.ndarray:
+    """Bisquare weights of absolute residuals."""
+    u = resid / (6 * median) if median > 0 else np.zeros(len(resid))
+    return np.where(u <= 0.001, 1.0, np.where(u <= 0.999, (1 - np.minimum(u, 1) ** 2) ** 2, 0.0))
+
+
 def stl_arrays(y: np.ndarray, period: int = 7, seasonal: int = 7, inner: int = 2,
                outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(seasonal, trend, residual) of one evenly spaced series, robust version.
@@ -57,26 +85,12 @@ def stl_arrays(y: np.ndarray, period: int = 7, seasonal: int = 7, inner: int = 2
     Cleveland et al., "STL: A Seasonal-Trend Decomposition Procedure Based on Loess", 1990.
     """
     n = len(y)
-    odd = lambda v: int(np.ceil(v)) | 1
-    q_trend, q_low = odd(1.5 * period / (1 - 1.5 / seasonal)), odd(period + 1)
-    at = np.arange(n, dtype=float)
     trend, seas, rw = np.zeros(n), np.zeros(n), np.ones(n)
     for step in range(outer + 1):
-        for _ in range(inner):
-            cycle = np.empty(n + 2 * period)
-            d = y - trend
-            for p in range(period):
-                sub, w = d[p::period], rw[p::period]
-                cycle[p::period] = _loess(sub, seasonal, np.arange(-1.0, len(sub) + 1), w)
-            low = _moving_average(_moving_average(_moving_average(cycle, period), period), 3)
-            seas = cycle[period:period + n] - _loess(low, q_low, at, np.ones(n))
-            trend = _loess(y - seas, q_trend, at, rw)
-        resid = y - seas - trend
+        seas, trend = _smoothed(y, trend, rw, period, seasonal, inner, n)
         if step < outer:
-            h = 6 * np.median(np.abs(resid))
-            u = np.abs(resid) / h if h > 0 else np.zeros(n)
-            rw = np.where(u <= 0.999, (1 - np.minimum(u, 1) ** 2) ** 2, 0.0)
-            rw = np.where(u <= 0.001, 1.0, rw)
+            resid = np.abs(y - seas - trend)
+            rw = _robustness(resid, np.median(resid))
     return seas, trend, y - seas - trend
 
 
@@ -102,6 +116,65 @@ def stl(daily: DataFrame, key: str, day: str, cols: Sequence[str], period: int =
     return daily.join(parts, [key, day])
 
 
+def stl_ranges(daily: DataFrame, key: str, day: str, col: str, period: int = 7, seasonal: int = 7,
+               inner: int = 2, outer: int = 15, cycles: int = 300) -> DataFrame:
+    """(key, day, value, seasonal, trend, resid) of series of any length, each cut into ranges of days.
+
+    A round of smoothing reaches a bounded number of cycles, so each range is smoothed with ``margin``
+    cycles of its neighbours on both sides and only its own days are kept; ranges begin at whole cycles.
+    Trend and robustness weights go from one outer step to the next as columns, and only the median of the
+    absolute residuals is taken over the whole series.  The result is that of the series as one group, but
+    for rounding, if no run of missing values is longer than the margin.  The input is one row per series and day on
+    a gap-free calendar; series below two cycles, or without values, have NULL parts.
+    """
+    margin, size = period * 10 * (inner + 1), period * cycles
+    if size < margin:
+        raise ValueError(f"ranges of {10 * (inner + 1)} cycles at least")
+    kind = daily.schema[key].dataType.simpleString()
+    span = daily.groupBy(key).agg(F.min(day).alias("_first"), (F.datediff(F.max(day), F.min(day)) + 1).alias("_n"))
+    d = daily.select(key, day, F.col(col).cast("double").alias("value")).join(span, key).select(
+        key, day, "value", F.datediff(day, "_first").alias("i"), "_n",
+        F.lit(0.0).alias("trend"), F.lit(1.0).alias("rw"), F.lit(0.0).alias("seasonal"))
+    schema = (f"{key} {kind}, {day} date, value double, i int, _n int, trend double, rw double, seasonal double")
+
+    def each(f):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("i")
+            own = (pdf["i"] // size == pdf["_range"]).to_numpy()
+            return f(pdf)[own][list(pdf.columns[:-1])]
+        return run
+
+    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(value=pdf["value"].interpolate(limit_direction="both"))
+
+    def smoothed(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, n = pdf["value"].to_numpy(float), int(pdf["_n"].iloc[0])
+        if n < 2 * period or np.isnan(y).any():
+            return pdf.assign(seasonal=np.nan, trend=np.nan)
+        seas, trend = _smoothed(y, pdf["trend"].to_numpy(), pdf["rw"].to_numpy(), period, seasonal, inner, n)
+        return pdf.assign(seasonal=seas, trend=trend)
+
+    def over_ranges(rows: DataFrame, f) -> DataFrame:
+        at = F.floor(F.col("i") / size).cast("int")
+        near = F.array_compact(F.array(at, F.when(F.col("i") % size < margin, at - 1),
+                                       F.when(F.col("i") % size >= size - margin, at + 1)))
+        out = rows.withColumn("_range", F.explode(near)).groupBy(key, "_range").applyInPandas(each(f), schema)
+        return cut_lineage(out)
+
+    d = over_ranges(d, filled)
+    resid = F.col("value") - F.col("seasonal") - F.col("trend")
+    for step in range(outer + 1):
+        d = over_ranges(d, smoothed)
+        if step < outer:
+            medians = d.groupBy(key).agg(F.median(F.abs(resid)).alias("_m"))
+            u = F.when(F.col("_m") > 0, F.abs(resid) / (6 * F.col("_m"))).otherwise(F.lit(0.0))
+            weight = F.when(u <= 0.001, 1.0).when(u <= 0.999, F.pow(1 - u * u, 2)).otherwise(0.0)
+            d = d.join(medians, key).withColumn("rw", weight).drop("_m")
+    parts = [F.when(~F.isnan(c), c).alias(n) for n, c in (
+        ("seasonal", F.col("seasonal")), ("trend", F.col("trend")), ("resid", resid))]
+    return d.select(key, day, "value", *parts)
+
+
 # ------------------------------------------------------------------ robust z
 
 def robust_z(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
