@@ -1,5 +1,7 @@
 """Scans and sinks: the given tables written in the format under test and read back."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opsreliability.catalog.base import query
@@ -131,3 +133,17 @@ def _(t):
         F.avg("arr_del15").alias("rate"))
     K.register_model(t.spark, p, v1)
     return K.register_model(t.spark, p, v2)
+
+
+@query("snk3_managed_table", "origin_state:s flights:l",
+       "SELECT origin_state, count(1) AS flights FROM legs GROUP BY origin_state")
+def _(t):
+    """A managed table created, replaced with other content, read from the catalog; one beside it is dropped."""
+    counts = t.staged.groupBy("origin_state").agg(F.count("*").alias("flights"))
+    name = f"snk3_{uuid.uuid4().hex}"
+    K.save_table(counts.limit(1), name)
+    K.save_table(counts.limit(1), f"{name}_old")
+    K.drop_table(t.spark, f"{name}_old")
+    if t.spark.catalog.tableExists(f"{name}_old"):
+        raise RuntimeError("a dropped table is still there")
+    return K.save_table(counts, name)
