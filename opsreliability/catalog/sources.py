@@ -63,16 +63,28 @@ ALL_TABLES = ("region nation customer supplier part orders lineitem events docum
               "benchmark labels conversations").split()
 
 
-@query("src7_manifest", "file:s row_count:l has_digest:b has_bytes:b",
-       " UNION ALL ".join(f"SELECT '{n}.parquet' AS file, count(1) AS row_count, true AS has_digest, "
-                          f"true AS has_bytes FROM {n}" for n in ALL_TABLES))
-def _(t):
-    """Manifest of all given files.  SQL cannot hash a file, so it checks rows and that both are there."""
+def manifest_of(t):
+    """Manifest of all given files."""
     one = [R.manifest(t.spark, R.file_digests(t.spark, f"{t.folder}/{n}.parquet"), t.table(n))
            for n in ALL_TABLES]
     both = one[0]
     for m in one[1:]:
         both = both.unionByName(m)
+    return both
+
+
+@query("src7_manifest_digests", "file:s bytes:l sha256:s row_count:l")
+def _(t):
+    """Size, digest and rows of every given file; SQL cannot hash a file, the tests compare with hashlib."""
+    return manifest_of(t)
+
+
+@query("src7_manifest", "file:s row_count:l has_digest:b has_bytes:b",
+       " UNION ALL ".join(f"SELECT '{n}.parquet' AS file, count(1) AS row_count, true AS has_digest, "
+                          f"true AS has_bytes FROM {n}" for n in ALL_TABLES))
+def _(t):
+    """SQL cannot hash a file, so it checks rows and that size and digest are there."""
+    both = manifest_of(t)
     return both.select("file", "row_count", (F.length("sha256") == 64).alias("has_digest"),
                        (F.col("bytes") > 0).alias("has_bytes"))
 

@@ -63,3 +63,14 @@ def test_tables_and_lineage(spark):
     assert not spark.catalog.tableExists("reliability_tests.small")
     d = cut_lineage(spark.range(10).withColumn("r", F.rand()))
     assert d.collect() == d.collect()
+
+
+def test_manifest_query_returns_sizes_and_digests(spark):
+    from opsreliability.catalog import load
+    folder = "/root/testdata/sf0.001"
+    got = load()[0]["src7_manifest_digests"](spark, folder).collect()
+    assert len(got) == 14
+    for row in got:
+        with open(f"{folder}/{row.file}", "rb") as f:
+            data = f.read()
+        assert (row.bytes, row.sha256) == (len(data), hashlib.sha256(data).hexdigest()) and row.row_count > 0
