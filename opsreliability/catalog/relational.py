@@ -413,14 +413,12 @@ def _(t):
 
 @query("wn9_previous_month", "carrier:s month:s n:l n_pm:d change:d pct_change:r6",
        """WITH m AS (SELECT carrier, date_trunc('month', flight_date) AS month, count(1) AS n
-       FROM legs WHERE NOT (carrier = 'BUILDING' AND month(flight_date) = 3) GROUP BY ALL)
+       FROM legs GROUP BY ALL)
        SELECT a.carrier, CAST(a.month AS DATE) AS month, a.n, b.n AS n_pm, a.n - b.n AS change,
        (a.n - b.n) / b.n AS pct_change FROM m a LEFT JOIN m b ON b.carrier = a.carrier
        AND b.month + INTERVAL 1 MONTH = a.month""")
 def _(t):
-    m = (t.legs.where("NOT (carrier = 'BUILDING' AND month(flight_date) = 3)")
-         .groupBy("carrier", F.trunc("flight_date", "month").alias("month"))
-         .agg(F.count("*").alias("n")))
+    m = t.legs.groupBy("carrier", F.trunc("flight_date", "month").alias("month")).agg(F.count("*").alias("n"))
     p = WN.prev_period(m, "month", ["n"], ["carrier"])
     return (p.withColumn("change", F.col("n") - F.col("n_pm"))
             .withColumn("pct_change", S.safe_div("change", "n_pm")))
