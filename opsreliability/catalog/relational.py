@@ -203,9 +203,22 @@ def _(t):
        """SELECT origin, quantile_cont(arr_delay_min, 0.1) AS p10, median(arr_delay_min) AS med,
        quantile_cont(arr_delay_min, 0.9) AS p90 FROM legs GROUP BY origin""")
 def _(t):
-    x = "arr_delay_min"
-    return t.legs.groupBy("origin").agg(F.percentile(x, 0.1).alias("p10"), F.median(x).alias("med"),
-                                        F.percentile(x, 0.9).alias("p90"))
+    from opsreliability.operators.prefix import grouped_quantiles
+    return grouped_quantiles(t.legs, ["origin"], {
+        n: ("arr_delay_min", p) for n, p in (("p10", 0.1), ("med", 0.5), ("p90", 0.9))})
+
+
+@query("ag4_quantiles_in_few_large_groups", "l_returnflag:s l_linestatus:s rows:l price_p01:r6 "
+       "price_med:r6 price_p99:r6 discount_p75:r6",
+       """SELECT l_returnflag, l_linestatus, count(1) AS rows, quantile_cont(l_extendedprice, 0.01)
+       AS price_p01, median(l_extendedprice) AS price_med, quantile_cont(l_extendedprice, 0.99) AS
+       price_p99, quantile_cont(l_discount, 0.75) AS discount_p75 FROM lineitem GROUP BY ALL""")
+def _(t):
+    from opsreliability.operators.prefix import grouped_quantiles
+    price = "l_extendedprice"
+    return grouped_quantiles(t.table("lineitem"), ["l_returnflag", "l_linestatus"], {
+        "price_p01": (price, 0.01), "price_med": (price, 0.5), "price_p99": (price, 0.99),
+        "discount_p75": ("l_discount", 0.75)}, rows="rows")
 
 
 @query("ag4_whole_table_quantiles", "q:d value:r6",

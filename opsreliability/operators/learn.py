@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from opsreliability.functions.scalar import logit
 from opsreliability.operators.evaluate import avg_precision, roc_auc
+from opsreliability.operators.prefix import grouped_quantiles, one_row_quantiles
 
 RARE = 200
 SEED = 42
@@ -202,22 +203,22 @@ def apply_platt(params: tuple[float, float], df: DataFrame, p: str, name: str) -
 QS = {10: 0.1, 50: 0.5, 90: 0.9}
 
 
-def _quantiles(y: str):
-    return [F.percentile(y, q).alias(f"q{n}") for n, q in QS.items()]
+def _group_quantiles(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    return grouped_quantiles(df, keys, {f"q{n}": (y, q) for n, q in QS.items()}, rows="_n")
 
 
 def quantile_table(train: DataFrame, y: str, levels: Sequence[Sequence[str]],
                    min_rows: int = 1) -> tuple[list, list[str], DataFrame]:
     """Arguments of ``lookup_chain``: conditional quantiles by falling detail, then overall."""
-    tables = [(train.groupBy(*keys).agg(*_quantiles(y), F.count("*").alias("_n"))
-               .where(F.col("_n") >= min_rows), list(keys)) for keys in levels]
-    return tables, [f"q{n}" for n in QS], train.agg(*_quantiles(y))
+    tables = [(_group_quantiles(train, keys, y).where(F.col("_n") >= min_rows), list(keys))
+              for keys in levels]
+    return tables, [f"q{n}" for n in QS], one_row_quantiles(train, y, {f"q{n}": q for n, q in QS.items()})
 
 
 def median_baselines(train: DataFrame, test: DataFrame, y: str, key: str) -> DataFrame:
     """Global median, key median with the global one behind it, and global mean."""
-    per_key = train.groupBy(key).agg(F.median(y).alias("_m"))
-    overall = train.agg(F.median(y).alias("m"))
+    per_key = grouped_quantiles(train, [key], {"_m": (y, 0.5)})
+    overall = one_row_quantiles(train, y, {"m": 0.5})
     mean = train.agg(F.avg(y).alias("m"))
     return (test.join(per_key, key, "left")
             .withColumn("global_median", overall.scalar())
@@ -242,7 +243,7 @@ def fit_quantile_tree(train: DataFrame, categories: Sequence[str], numbers: Sequ
         texts, index, SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"),
         VectorAssembler(inputCols=[f"{c}__i" for c in categories] + [f"{c}__d" for c in numbers],
                         outputCol="features"), tree]).fit(rows)
-    leaves = model.transform(rows).groupBy("leaf").agg(*_quantiles(y))
+    leaves = _group_quantiles(model.transform(rows), ["leaf"], y).drop("_n")
     return model, leaves
 
 

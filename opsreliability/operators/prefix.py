@@ -9,7 +9,7 @@ hot key are written first, so that the planner sees their size and chooses their
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +105,64 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return out.select("q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
 
 
+def one_row_quantiles(df: DataFrame, col: str, wanted: Mapping[str, float]) -> DataFrame:
+    """``exact_quantiles`` as one row: {output name: probability}; NULLs where there is no value."""
+    rows = exact_quantiles(df, col, sorted(set(wanted.values())))
+    return rows.agg(*[F.max(F.when(F.col("q") == float(p), F.col("value"))).alias(n)
+                      for n, p in wanted.items()])
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]],
+                      rows: str | None = None) -> DataFrame:
+    """Interpolated quantiles per group: {output name: (column, probability)}.
+
+    Equal to ``percentile`` per group, without a buffer of all values of a group.  Equal values are
+    counted first.  Ranges that each hold an equal share of those counts, whatever their group, then
+    cut every group; a group's totals by range tell which range holds a wanted position, and
+    only those ranges are ordered.  So no task orders more than one range, however hot a group is.
+
+    NULL keys form a group, as in ``groupBy``.  NULL values count for nothing; a group with no other has
+    NULL quantiles.  ``rows`` names an output with the rows of the group.
+    """
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    values = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"))
+                       for i, c in enumerate(cols)])
+    counts = materialise(
+        df.select(F.struct(*keys).alias("_k"), F.inline(values)).groupBy("_k", "_c", "_v").agg(
+            F.count("_v").alias("_n"), F.count("*").alias("_all")), "value-counts")
+    d = with_range(counts, "_v", range_bounds(counts.where("_v IS NOT NULL"), "_v"), "_r")
+
+    group = W.partitionBy("_k", "_c")
+    earlier = group.orderBy("_r").rowsBetween(W.unboundedPreceding, W.currentRow)
+    places = F.array(*[F.struct(F.lit(cols.index(c)).alias("c"), F.lit(n).alias("name"),
+                                F.lit(float(p)).alias("p")) for n, (c, p) in wanted.items()])
+
+    def at(frame: DataFrame) -> DataFrame:
+        """Rows of ``frame`` (its values end before position _end and number _n) by place in it."""
+        pos = F.col("_w.p") * (F.col("_t") - 1)
+        out = (frame.withColumn("_w", F.explode(F.filter(places, lambda x: x["c"] == F.col("_c"))))
+               .withColumn("_pos", pos))
+        inside = lambda x: (x >= F.col("_end") - F.col("_n")) & (x < F.col("_end"))
+        return (out.withColumns({"_lo": inside(F.floor("_pos")), "_hi": inside(F.ceil("_pos"))})
+                .where("_lo OR _hi"))
+
+    totals = d.groupBy("_k", "_c", "_r").agg(F.sum("_n").alias("_n")).select(
+        "*", F.sum("_n").over(earlier).alias("_end"), F.sum("_n").over(group).alias("_t"))
+    holding = at(totals).select("_k", "_c", "_r", "_t", (F.col("_end") - F.col("_n")).alias("_o")).distinct()
+    in_range = W.partitionBy("_k", "_c", "_r").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = d.where("_n > 0").join(holding, ["_k", "_c", "_r"]).withColumn(
+        "_end", F.sum("_n").over(in_range) + F.col("_o"))
+    found = at(ordered).groupBy("_k", F.col("_w.name").alias("_name")).agg(
+        F.max(F.when(F.col("_lo"), F.col("_v"))).alias("a"),
+        F.max(F.when(F.col("_hi"), F.col("_v"))).alias("b"),
+        F.max(F.col("_pos") - F.floor("_pos")).alias("f"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    by_group = found.groupBy("_k").agg(*[F.max(F.when(F.col("_name") == n, value)).alias(n) for n in wanted])
+    groups = counts.where("_c = 0").groupBy("_k").agg(F.sum("_all").alias(rows or "_rows"))
+    return groups.join(by_group, "_k", "left").select(
+        *[F.col("_k").getField(k).alias(k) for k in keys], *wanted, *([rows] if rows else []))
+
+
 # ------------------------------------------------------------------ hot groups
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:

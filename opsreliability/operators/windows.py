@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from opsreliability.operators.joins import attach_stats
-from opsreliability.operators.prefix import rank_values, sequence_in_group
+from opsreliability.operators.prefix import grouped_quantiles, rank_values, sequence_in_group
 
 
 def peer_counts(df: DataFrame, specs: Mapping[str, Sequence[str]], row_key: str,
@@ -50,8 +50,8 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def group_median(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
-    """Exact medians per group: {column: output name}.  Values are counted before they travel."""
-    return df.groupBy(*keys).agg(*[F.median(c).alias(n) for c, n in cols.items()])
+    """Exact medians per group: {column: output name}."""
+    return grouped_quantiles(df, keys, {n: (c, 0.5) for c, n in cols.items()})
 
 
 def vs_own_median(df: DataFrame, key: str, ratio: Sequence[str], difference: Sequence[str],

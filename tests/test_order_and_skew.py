@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from opsreliability.operators import evaluate as EV
 from opsreliability.operators.joins import attach_stats
-from opsreliability.operators.prefix import (exact_quantiles, hot_keys, rank_values, running_sum,
+from opsreliability.operators.prefix import (exact_quantiles, grouped_quantiles, hot_keys,
+                                             one_row_quantiles, rank_values, running_sum,
                                              sequence_in_group)
 from opsreliability.operators.sampling import fixed_sample
 from opsreliability.operators.windows import gap_to_prev
@@ -113,3 +114,55 @@ def test_rank_metrics_against_definitions(spark):
     m = EV.classification_report(df, 0.5).first()
     assert m.n == 800 and m.brier == pytest.approx(((p - y) ** 2).mean())
     assert EV.calibration(df, 5).agg(F.sum("n")).first()[0] == 800
+
+
+@pytest.fixture(scope="module")
+def mostly_one_group(spark):
+    """One of many groups holds nine tenths of the rows; continuous and tied values, NULLs in both keys."""
+    r = np.random.default_rng(3)
+    n = 5000
+    pdf = pd.DataFrame({"g": np.where(r.random(n) < 0.9, "big", [f"g{i % 60}" for i in range(n)]),
+                        "h": r.integers(0, 2, n).astype(object), "x": r.normal(size=n),
+                        "y": r.integers(-5, 6, n).astype(float)})
+    pdf.loc[pdf.index % 11 == 0, "h"] = None
+    pdf.loc[pdf.index % 37 == 0, "g"] = None
+    rows = [tuple(None if v is None or v != v else v for v in row) for row in pdf.itertuples(index=False)]
+    rows = [(g, h, None if i % 7 == 0 else x, None if g == "g5" else y) for i, (g, h, x, y) in enumerate(rows)]
+    return spark.createDataFrame(rows, "g string, h int, x double, y double")
+
+
+def test_grouped_quantiles_equal_percentile(mostly_one_group):
+    d, keys = mostly_one_group, ["g", "h"]
+    wanted = {"x_lo": ("x", 0.0), "x_10": ("x", 0.1), "x_50": ("x", 0.5), "y_50": ("y", 0.5),
+              "y_90": ("y", 0.9), "y_hi": ("y", 1.0)}
+    got = grouped_quantiles(d, keys, wanted, rows="n")
+    assert got.columns == [*keys, *wanted, "n"]
+    want = d.groupBy(*keys).agg(*[F.percentile(c, p).alias(n) for n, (c, p) in wanted.items()],
+                                F.count("*").alias("n"))
+    order = lambda r: (r["g"] or "", -1 if r["h"] is None else r["h"])
+    a, b = sorted(got.collect(), key=order), sorted(want.collect(), key=order)
+    assert [order(r) for r in a] == [order(r) for r in b]
+    assert any(r["y_50"] is None for r in a) and any(r["g"] is None and r["h"] is None for r in a)
+    for r, s in zip(a, b):
+        assert r["n"] == s["n"]
+        for n in wanted:
+            assert (r[n] is None) == (s[n] is None)
+            assert r[n] is None or r[n] == pytest.approx(s[n], abs=1e-12)
+
+
+def test_grouped_quantiles_without_rows_or_values(spark):
+    d = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0)], "g string, x double")
+    wanted = {"m": ("x", 0.5)}
+    assert grouped_quantiles(d.limit(0), ["g"], wanted).collect() == []
+    assert sorted(grouped_quantiles(d, ["g"], wanted, rows="n").collect()) == [("a", None, 2), ("b", 1.0, 1)]
+    assert grouped_quantiles(d.where("g = 'a'"), ["g"], wanted).collect() == [("a", None)]
+    assert one_row_quantiles(d.where("g = 'a'"), "x", wanted := {"m": 0.5}).collect() == [(None,)]
+    assert one_row_quantiles(d, "x", wanted).collect() == [(1.0,)]
+
+
+def test_no_window_orders_a_whole_group(mostly_one_group):
+    """The rows with values are ordered inside ranges; whole groups are windowed by their range totals alone."""
+    plan = grouped_quantiles(mostly_one_group, ["g"], {"m": ("x", 0.5)})._jdf.queryExecution().toString()
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    orders = [line for line in optimized.splitlines() if "Window [" in line and "_v#" in line]
+    assert orders and all("_r#" in line.split("], [")[1] for line in orders)
