@@ -147,7 +147,7 @@ def _(t):
 @query("ml12_route_segments", "route:s segment_id:i segment:s")
 def _(t):
     items = SG.route_profile(M.kpi_route(t.staged, 40))
-    return SG.segment_items(items, SG.ROUTE_FEATURES, "log_flights", SG.ROUTE_TIERS, range(4, 6))[0]
+    return SG.segment_items(items, SG.ROUTE_FEATURES, "log_flights", SG.ROUTE_TIERS)[0]
 
 
 # standardised profiles per state stand in for centroids

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,6 +41,8 @@ TRAITS = {
     "carriers": ("multi-carrier", "single-carrier"),
 }
 BIG, MIDDLE = 0.8, -0.3
+#: Runs of k-means for each number of segments, and items that first centres are drawn from.
+STARTS, DRAWN = 20, 4096
 
 
 def site_profile(profile: DataFrame) -> DataFrame:
@@ -62,28 +64,104 @@ def standardise(items: DataFrame, features: Sequence[str]) -> tuple[PipelineMode
     return m, m.transform(d).select(*items.columns, "z")
 
 
-def fit_segments(z: DataFrame, ks: Sequence[int] = range(4, 8), starts: int = 3,
+class Segments:
+    """Centres of one k-means run and its cost, the sum of squared distances to the nearest centre."""
+
+    def __init__(self, centers: np.ndarray, cost: float):
+        self.centers, self.cost = centers, cost
+
+    def transform(self, z: DataFrame, name: str = "segment_id") -> DataFrame:
+        """Number of the nearest centre, ties to the smaller one."""
+        x = vector_to_array("z")
+        far = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, map(float, c))), lambda a, b: (a - b) * (a - b)),
+                           F.lit(0.0), lambda t, v: t + v) for c in self.centers]
+        return z.withColumn(name, F.array_min(F.array(*[
+            F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))["i"])
+
+
+def _first_centers(rows: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
+    """k rows, each drawn in proportion to its squared distance from those before."""
+    picked = [rows[r.integers(len(rows))]]
+    near = ((rows - picked[0]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        total = near.sum()
+        picked.append(rows[r.choice(len(rows), p=near / total if total > 0 else None)])
+        near = np.minimum(near, ((rows - picked[-1]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
+def _pass(points: DataFrame, runs: Mapping[int, np.ndarray], width: int) -> dict[int, dict[int, tuple]]:
+    """{run: {centre: (rows, cost, sums)}} of all runs, in one job over the items."""
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {r: np.zeros((len(c), width + 2)) for r, c in runs.items()}
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(-1, width)
+            for r, c in runs.items():
+                far = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
+                at = far.argmin(axis=1)
+                np.add.at(held[r], at, np.column_stack([np.ones(len(x)), far.min(axis=1), x]))
+        yield pd.DataFrame([(r, i, *row) for r, table in held.items() for i, row in enumerate(table)],
+                           columns=names)
+
+    sums = [f"s{i}" for i in range(width)]
+    names = ["run", "at", "n", "cost", *sums]
+    parts = points.mapInPandas(partial, "run int, at int, " + ", ".join(f"{n} double" for n in names[2:]))
+    out: dict[int, dict[int, tuple]] = {}
+    # one row for each centre of each run
+    for row in parts.groupBy("run", "at").agg(*[F.sum(n).alias(n) for n in names[2:]]).collect():
+        out.setdefault(row["run"], {})[row["at"]] = (row["n"], row["cost"], np.array([row[n] for n in sums]))
+    return out
+
+
+def fit_all_starts(z: DataFrame, ks: Sequence[int], starts: int = STARTS, seed: int = 42,
+                   max_iter: int = 50, tol: float = 1e-4) -> dict[tuple[int, int], Segments]:
+    """{(k, start): run} of k-means on the vectors ``z``.
+
+    All runs go forward together: a pass over the items sums rows by nearest centre for every run that
+    still moves, and only those sums reach the driver.  First centres are drawn from at most ``DRAWN``
+    items, those with the smallest hash; everything after reads all items.
+    """
+    points = z.select(vector_to_array("z").alias("x"))
+    drawn = np.array([r["x"] for r in points.orderBy(F.xxhash64("x"), "x").limit(DRAWN).collect()])
+    if not len(drawn):
+        raise ValueError("no items to segment")
+    names = [(k, i) for k in ks for i in range(starts)]
+    centers = {n: _first_centers(drawn, k, np.random.default_rng([seed, k, i]))
+               for n, (k, i) in enumerate(names)}
+    done: dict[tuple[int, int], Segments] = {}
+    for step in range(max_iter):
+        for r, found in _pass(points, centers, drawn.shape[1]).items():
+            old = centers[r]
+            done[names[r]] = Segments(old, sum(cost for _, cost, _ in found.values()))
+            new = np.array([found[i][2] / found[i][0] if found[i][0] else old[i] for i in range(len(old))])
+            if ((new - old) ** 2).sum(axis=1).max() <= tol * tol:
+                del centers[r]
+            else:
+                centers[r] = new
+        if not centers:
+            break
+    return done
+
+
+def fit_segments(z: DataFrame, ks: Sequence[int] = range(4, 8), starts: int = STARTS,
                  seed: int = 42):
-    """KMeans with the number of segments chosen by silhouette.
+    """K-means with the number of segments chosen by silhouette.
 
     The silhouette is the squared-distance one, which needs no pair of items and so is linear in
-    their number.  Of several starts the one with the smallest cost is kept.
+    their number.  Of the starts of each k the one with the smallest cost is kept.
     """
     z = cut_lineage(z)
     judge = ClusteringEvaluator(featuresCol="z", predictionCol="segment_id")
-    scores, models = {}, {}
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="z",
-                       predictionCol="segment_id").fit(z) for i in range(starts)]
-        models[k] = min(fits, key=lambda m: m.summary.trainingCost)
-        scores[k] = judge.evaluate(models[k].transform(z))
+    runs = fit_all_starts(z, ks, starts, seed)
+    models = {k: min((runs[k, i] for i in range(starts)), key=lambda m: m.cost) for k in ks}
+    scores = {k: judge.evaluate(m.transform(z)) for k, m in models.items()}
     best = max(scores, key=scores.get)
     return models[best], scores
 
 
 def centroids(model, features: Sequence[str], spark) -> DataFrame:
     """Centroids as rows (k of them)."""
-    rows = [(i, *[float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    rows = [(i, *[float(v) for v in c]) for i, c in enumerate(model.centers)]
     return spark.createDataFrame(rows, "segment_id int, " + ", ".join(f"{f} double"
                                                                       for f in features))
 
