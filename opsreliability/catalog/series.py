@@ -10,6 +10,7 @@ from opsreliability.operators import marts as M
 from opsreliability.operators import series as SE
 from opsreliability.operators import windows as WN
 from opsreliability.operators.sampling import keep_top_groups
+from opsreliability.session import cut_lineage
 
 view("daily", f"""SELECT origin_state AS series, flight_date, count(1) AS scheduled_departures,
     {rnd('avg(arr_del15)', 5)} AS arr_delay_rate FROM legs GROUP BY origin_state, flight_date""")
@@ -118,8 +119,37 @@ for _n in TARGETS:
 
     @query(f"se7_learned_backtest_{_n}", "model:s mae:r6 rmse:r6 mape_pct:r4")
     def _(t, n=_n):
-        bt = SE.backtest_learned(x(t, n), folds=2, trees=10)
-        return SE.forecast_metrics(bt, ("learned", *SE.BASELINES))
+        return SE.forecast_metrics(SE.backtest_learned(x(t, n)), ("learned", *SE.BASELINES))
+
+    @query(f"se7_training_windows_{_n}",
+           "origin:s n_train:l n_held:l n_test:l first_loss:r6 trees_after_best:i best_is_lowest:b "
+           "never_above_first:b",
+           f"""SELECT origin, sum(tr) AS n_train, sum(he) AS n_held, sum(te) AS n_test,
+           avg(CASE he WHEN 1 THEN (y - lag7) * (y - lag7) END) AS first_loss,
+           10 AS trees_after_best, true AS best_is_lowest, true AS never_above_first
+           FROM (SELECT origin, y, lag7, (flight_date <= origin - 28)::INT AS tr,
+             (flight_date > origin - 28 AND flight_date <= origin)::INT AS he,
+             (flight_date > origin AND flight_date <= origin + 7)::INT AS te
+             FROM x_{_n}, (SELECT DISTINCT origin FROM bt_{_n})
+             WHERE lag28 IS NOT NULL AND roll28_lag7 IS NOT NULL AND lag7 IS NOT NULL AND y IS NOT NULL)
+           GROUP BY origin""")
+    def _(t, n=_n):
+        """Rows that each origin trains on, holds out and forecasts, and how its growing ended."""
+        f = cut_lineage(x(t, n))
+        origins = SE.origins_of(SE.backtest_windows(f))
+        m = SE.fit_residual(f, origins, patience=10)
+        rows = [(o, h[0], len(h) - 1 - len(k), h[len(k)] == min(h), h[len(k)] <= h[0])
+                for o, h, k in zip(m.ends, m.history, m.trees)]
+        ends = t.spark.createDataFrame(rows, "origin date, first_loss double, trees_after_best int, "
+                                             "best_is_lowest boolean, never_above_first boolean")
+        before = F.datediff("flight_date", "origin")
+        count = lambda p: F.sum(p.cast("long"))
+        used = SE.usable(f).where("y IS NOT NULL AND lag7 IS NOT NULL").select("flight_date").withColumn(
+            "origin", F.explode(F.array(*[F.lit(o) for o in origins])))
+        n_rows = used.groupBy("origin").agg(
+            count(before <= -28).alias("n_train"), count((before > -28) & (before <= 0)).alias("n_held"),
+            count((before > 0) & (before <= 7)).alias("n_test"))
+        return n_rows.join(ends, "origin")
 
 
 @query("se4_seasonal_naive", "series:s flight_date:s forecast:d",
@@ -150,7 +180,8 @@ def _(t):
 @query("se9_future_learned", "series:s flight_date:s forecast:r6")
 def _(t):
     d = daily(t)
-    m = SE.fit_residual(SE.usable(x(t, "volume")), trees=10)
+    last = d.agg(F.max("flight_date")).first()[0]
+    m = SE.fit_residual(cut_lineage(x(t, "volume")), [last])
     return SE.forecast_future(m, d, "scheduled_departures", calendar(t))
 
 

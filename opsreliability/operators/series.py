@@ -7,15 +7,14 @@ series is bounded by the length of the calendar and its windows stay small.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opsreliability.functions.scalar import round_away
+from opsreliability.operators.boost_windows import WindowModels, fit_windows
 from opsreliability.operators.sampling import keep_top_groups
 from opsreliability.operators.windows import rolling
 from opsreliability.session import cut_lineage
@@ -112,44 +111,35 @@ def forecast_metrics(bt: DataFrame, models: Sequence[str] = BASELINES) -> DataFr
 
 # ------------------------------------------------------------------ learned correction
 
-def _inputs(features: DataFrame) -> DataFrame:
-    """Doubles without NULLs: a missing lag falls back to the most recent one."""
-    d = features
-    for c in ("lag14", "lag21", "lag28", "roll7_lag7", "roll28_lag7"):
-        d = d.withColumn(c, F.coalesce(c, "lag7"))
-    d = d.withColumn("std28_lag7", F.coalesce("std28_lag7", F.lit(0.0)))
-    d = d.withColumn("days_to_holiday", F.coalesce("days_to_holiday", F.lit(30)))
-    return d.withColumns({c: F.col(c).cast("double") for c in MODEL_FEATURES})
+def _residual(features: DataFrame) -> DataFrame:
+    return usable(features).where("y IS NOT NULL AND lag7 IS NOT NULL").withColumn(
+        "_residual", F.col("y") - F.col("lag7"))
 
 
-def fit_residual(features: DataFrame, trees: int = 20, depth: int = 3,
-                 seed: int = 42) -> PipelineModel:
-    """Boosted trees for y - lag7, one model for all series."""
-    rows = _inputs(features.where("y IS NOT NULL AND lag7 IS NOT NULL")).withColumn(
-        "label", F.col("y") - F.col("lag7"))
-    gbt = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, minInstancesPerNode=10,
-                       subsamplingRate=1.0, seed=seed, labelCol="label", predictionCol="_r")
-    return Pipeline(stages=[VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features"),
-                            gbt]).fit(rows)
+def fit_residual(features: DataFrame, ends: Sequence[date], **params) -> WindowModels:
+    """Boosted trees for y - lag7, one model for all series and each end of the training window."""
+    return fit_windows(_residual(features), MODEL_FEATURES, "_residual", "flight_date", ends, **params)
 
 
-def predict_residual(model: PipelineModel, features: DataFrame, name: str) -> DataFrame:
-    d = _inputs(features.where("lag7 IS NOT NULL"))
-    return model.transform(d).withColumn(name, F.col("lag7") + F.col("_r")).drop("_r", "features")
+def predict_residual(model: WindowModels, features: DataFrame, name: str, end: str = "origin") -> DataFrame:
+    d = model.predict(features.where("lag7 IS NOT NULL"), end, "_r")
+    return d.withColumn(name, F.col("lag7") + F.col("_r")).drop("_r")
+
+
+def origins_of(test: DataFrame) -> list[date]:
+    """The rolling origins, oldest first: as many as folds."""
+    return sorted(r[0] for r in test.select("origin").distinct().collect())
 
 
 def backtest_learned(features: DataFrame, folds: int = 8, step: int = 7, horizon: int = HORIZON,
-                     trees: int = 20, depth: int = 3, name: str = "learned") -> DataFrame:
-    """One expanding-window fit per origin; ``folds`` fits whatever the number of series."""
+                     name: str = "learned", **params) -> DataFrame:
+    """Test rows of every origin with the forecast of the model trained up to it; all origins are fitted together."""
     x = cut_lineage(features)
     test = backtest_windows(x, folds, step, horizon)
-    origins = sorted(r[0] for r in test.select("origin").distinct().collect())   # <= folds rows
-    out = None
-    for o in origins:
-        m = fit_residual(usable(x).where(F.col("flight_date") <= F.lit(o)), trees, depth)
-        p = predict_residual(m, test.where(F.col("origin") == F.lit(o)), name)
-        out = p if out is None else out.unionByName(p)
-    return out
+    origins = origins_of(test)
+    if not origins:
+        return test.withColumn(name, F.lit(None).cast("double"))
+    return predict_residual(fit_residual(x, origins, **params), test, name)
 
 
 def future_features(daily: DataFrame, target: str, calendar: DataFrame, horizon: int = HORIZON,
@@ -165,10 +155,11 @@ def future_features(daily: DataFrame, target: str, calendar: DataFrame, horizon:
     return f.withColumn("_last", last.scalar()).where(F.col(day) > F.col("_last")).drop("_last")
 
 
-def forecast_future(model: PipelineModel, daily: DataFrame, target: str,
+def forecast_future(model: WindowModels, daily: DataFrame, target: str,
                     calendar: DataFrame) -> DataFrame:
-    f = future_features(daily, target, calendar)
-    return predict_residual(model, f, "forecast").select("flight_date", "series", "forecast")
+    """Forecast of the model whose window ends last."""
+    f = future_features(daily, target, calendar).withColumn("_end", F.lit(model.ends[-1]))
+    return predict_residual(model, f, "forecast", "_end").select("flight_date", "series", "forecast")
 
 
 def tail_days(df: DataFrame, n: int, day: str = "flight_date") -> DataFrame:
