@@ -61,6 +61,20 @@ def x(t, n):
     return SE.series_features(daily(t), TARGETS[n], calendar(t))
 
 
+_FITTED: dict[tuple[str, str, str], tuple] = {}
+
+
+def fitted(t, n):
+    """Features, and the models of the eight origins and of the last day, fitted once per session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, n)
+    if key not in _FITTED:
+        f = cut_lineage(x(t, n))
+        last = f.where("y IS NOT NULL").agg(F.max("flight_date")).first()[0]
+        ends = [*SE.origins_of(SE.backtest_windows(f)), last]
+        _FITTED[key] = f, SE.fit_residual(f, ends, patience=5, step=0.3, depth=3, bins=32)
+    return _FITTED[key]
+
+
 @query("wn6_shift_by_days", "series:s flight_date:s n:l n_7:d n_28:d",
        """SELECT a.series, a.flight_date, a.scheduled_departures AS n, b.scheduled_departures AS n_7,
        c.scheduled_departures AS n_28 FROM daily a
@@ -119,37 +133,39 @@ for _n in TARGETS:
 
     @query(f"se7_learned_backtest_{_n}", "model:s mae:r6 rmse:r6 mape_pct:r4")
     def _(t, n=_n):
-        return SE.forecast_metrics(SE.backtest_learned(x(t, n)), ("learned", *SE.BASELINES))
+        f, m = fitted(t, n)
+        bt = SE.predict_residual(m, SE.backtest_windows(f), "learned")
+        return SE.forecast_metrics(bt, ("learned", *SE.BASELINES))
 
     @query(f"se7_training_windows_{_n}",
            "origin:s n_train:l n_held:l n_test:l first_loss:r6 trees_after_best:i best_is_lowest:b "
            "never_above_first:b",
            f"""SELECT origin, sum(tr) AS n_train, sum(he) AS n_held, sum(te) AS n_test,
            avg(CASE he WHEN 1 THEN (y - lag7) * (y - lag7) END) AS first_loss,
-           10 AS trees_after_best, true AS best_is_lowest, true AS never_above_first
-           FROM (SELECT origin, y, lag7, (flight_date <= origin - 28)::INT AS tr,
-             (flight_date > origin - 28 AND flight_date <= origin)::INT AS he,
+           5 AS trees_after_best, true AS best_is_lowest, true AS never_above_first
+           FROM (SELECT origin, y, lag7, (flight_date <= seen - 28)::INT AS tr,
+             (flight_date > seen - 28 AND flight_date <= origin)::INT AS he,
              (flight_date > origin AND flight_date <= origin + 7)::INT AS te
-             FROM x_{_n}, (SELECT DISTINCT origin FROM bt_{_n})
+             FROM (SELECT *, max(CASE WHEN flight_date <= origin THEN flight_date END)
+                     OVER (PARTITION BY origin) AS seen
+                   FROM x_{_n}, (SELECT DISTINCT origin FROM bt_{_n})
+                   WHERE lag28 IS NOT NULL AND roll28_lag7 IS NOT NULL AND lag7 IS NOT NULL AND y IS NOT NULL)
              WHERE lag28 IS NOT NULL AND roll28_lag7 IS NOT NULL AND lag7 IS NOT NULL AND y IS NOT NULL)
            GROUP BY origin""")
     def _(t, n=_n):
         """Rows that each origin trains on, holds out and forecasts, and how its growing ended."""
-        f = cut_lineage(x(t, n))
-        origins = SE.origins_of(SE.backtest_windows(f))
-        m = SE.fit_residual(f, origins, patience=10)
-        rows = [(o, h[0], len(h) - 1 - len(k), h[len(k)] == min(h), h[len(k)] <= h[0])
-                for o, h, k in zip(m.ends, m.history, m.trees)]
-        ends = t.spark.createDataFrame(rows, "origin date, first_loss double, trees_after_best int, "
-                                             "best_is_lowest boolean, never_above_first boolean")
-        before = F.datediff("flight_date", "origin")
-        count = lambda p: F.sum(p.cast("long"))
+        f, m = fitted(t, n)
+        rows = [(o, e, h[0], len(h) - 1 - len(k), bool(h[len(k)] == min(h)), bool(h[len(k)] <= h[0]))
+                for o, e, h, k in zip(m.ends[:-1], m.train_ends, m.history, m.trees)]
+        ends = t.spark.createDataFrame(rows, "origin date, train_end date, first_loss double, "
+                                             "trees_after_best int, best_is_lowest boolean, never_above_first boolean")
         used = SE.usable(f).where("y IS NOT NULL AND lag7 IS NOT NULL").select("flight_date").withColumn(
-            "origin", F.explode(F.array(*[F.lit(o) for o in origins])))
-        n_rows = used.groupBy("origin").agg(
-            count(before <= -28).alias("n_train"), count((before > -28) & (before <= 0)).alias("n_held"),
-            count((before > 0) & (before <= 7)).alias("n_test"))
-        return n_rows.join(ends, "origin")
+            "origin", F.explode(F.array(*[F.lit(o) for o in m.ends[:-1]]))).join(F.broadcast(ends), "origin")
+        day, count = F.col("flight_date"), lambda p: F.sum(p.cast("long"))
+        return used.groupBy(*ends.columns).agg(
+            count(day <= F.col("train_end")).alias("n_train"),
+            count((day > F.col("train_end")) & (day <= F.col("origin"))).alias("n_held"),
+            count((day > F.col("origin")) & (day <= F.date_add("origin", 7))).alias("n_test"))
 
 
 @query("se4_seasonal_naive", "series:s flight_date:s forecast:d",
@@ -180,9 +196,7 @@ def _(t):
 @query("se9_future_learned", "series:s flight_date:s forecast:r6")
 def _(t):
     d = daily(t)
-    last = d.agg(F.max("flight_date")).first()[0]
-    m = SE.fit_residual(cut_lineage(x(t, "volume")), [last])
-    return SE.forecast_future(m, d, "scheduled_departures", calendar(t))
+    return SE.forecast_future(fitted(t, "volume")[1], d, "scheduled_departures", calendar(t))
 
 
 @query("se10_tail_days", "series:s flight_date:s scheduled_departures:l",

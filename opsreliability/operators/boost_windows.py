@@ -34,6 +34,7 @@ class WindowModels:
     cuts: list[np.ndarray]
     trees: list[list[np.ndarray]]     # by window
     history: list[list[float]]        # by window: held-out squared error by number of trees
+    train_ends: list[date]            # by window: last day that its trees see
 
     def predict(self, df: DataFrame, end: str, name: str) -> DataFrame:
         """``df`` with the prediction of the window that ends on the day in column ``end``; NULL for other days."""
@@ -137,14 +138,16 @@ def fit_windows(rows: DataFrame, features: Sequence[str], label: str, day: str,
                 cuts: list[np.ndarray] | None = None) -> WindowModels:
     """One model for each day in ``ends``, from the rows up to that day.
 
-    The last ``hold`` days of a window tell when to stop; the trees see the days before.  Rows without a
-    label take no part.  Missing features have a bin of their own, below all others.  Bin edges come from
-    the rows that the first window trains on, so no model has seen later days.  A window without held-out
-    rows grows ``max_trees``; a window without training rows predicts 0.
+    The ``hold`` days up to the last row of a window tell when to stop; the trees see the days before.  Rows
+    without a label take no part.  Missing features have a bin of their own, below all others.  Bin edges come from
+    the rows that the first window trains on, so no model has seen later days.  A window without training rows
+    predicts 0.
     """
     ends, width = sorted(ends), len(features)
     rows = rows.where(F.col(label).isNotNull() & F.col(day).isNotNull() & (F.col(day) <= F.lit(ends[-1])))
-    cuts = cuts or window_cuts(rows.where(F.col(day) <= F.lit(ends[0] - timedelta(days=hold))), features, bins)
+    lasts = rows.agg(*[F.max(F.when(F.col(day) <= F.lit(e), F.col(day))).alias(f"d{k}") for k, e in enumerate(ends)])
+    train_ends = [(d or e) - timedelta(days=hold) for d, e in zip(lasts.first(), ends)]
+    cuts = cuts or window_cuts(rows.where(F.col(day) <= F.lit(train_ends[0])), features, bins)
     coder = BoostedTrees([], [], {}, cuts, 0.0)
 
     def binned(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -155,7 +158,7 @@ def fit_windows(rows: DataFrame, features: Sequence[str], label: str, day: str,
     state = materialise(rows.select(
         F.pandas_udf(run_typed(binned), "binary")(_array(features)).alias("x"),
         F.col(label).cast("double").alias("y"), later(ends).alias("seen"),
-        later([e - timedelta(days=hold) for e in ends]).alias("first"),
+        later(train_ends).alias("first"),
         F.lit(np.zeros(len(ends)).tobytes()).alias("m")), "window-rows")
     largest = state.agg(F.max(F.abs("y")).alias("v")).first()["v"] or 1.0
     # a power of two; large residuals are squared as well
@@ -172,7 +175,7 @@ def fit_windows(rows: DataFrame, features: Sequence[str], label: str, day: str,
                     yield b.assign(m=[r.tobytes() for r in m])
         return run
 
-    models = WindowModels(list(features), ends, cuts, [[] for _ in ends], [[] for _ in ends])
+    models = WindowModels(list(features), ends, cuts, [[] for _ in ends], [[] for _ in ends], train_ends)
     best = [(0, np.inf)] * len(ends)
     recent: dict[int, list] = {k: [] for k in range(len(ends))}
     growing = set(recent)
@@ -180,7 +183,7 @@ def fit_windows(rows: DataFrame, features: Sequence[str], label: str, day: str,
         got, held = _sums(state, recent, {k: (None, [0]) for k in sorted(growing)}, width, len_bins(cuts), scale)
         for k in sorted(growing):
             error, n = held.get(k, (0.0, 0))
-            models.history[k].append(error / n if n else float("nan"))
+            models.history[k].append(float(error / n) if n else float("nan"))
             if n and error / n < best[k][1]:
                 best[k] = (len(models.trees[k]), error / n)
             waited = best[k][1] < np.inf and len(models.trees[k]) - best[k][0] >= patience

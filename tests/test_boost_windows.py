@@ -27,7 +27,7 @@ def rows(spark):
 
 
 def fit(rows, ends=ENDS, **more):
-    return BW.fit_windows(rows, FEATURES, "y", "day", ends, depth=3, step=0.3, patience=3, **more)
+    return BW.fit_windows(rows, FEATURES, "y", "day", ends, depth=3, step=0.5, patience=3, **more)
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,7 @@ def grown_alone(d, cuts, end, trees):
             leaves = after
         e = d.y.to_numpy() - m
         for rows in leaves:
-            m[rows] += 0.3 * e[rows & t].sum() / ((rows & t).sum() + 1)
+            m[rows] += 0.5 * e[rows & t].sum() / ((rows & t).sum() + 1)
     return m, d, day
 
 
@@ -102,9 +102,10 @@ def test_later_rows_change_nothing(rows, models):
     assert np.allclose(again.history[0], models.history[0])
 
 
-def test_no_rows_and_no_held_out_days(rows):
+def test_no_rows_and_a_gap_before_the_end(rows):
     none = fit(rows.limit(0), max_trees=3)
     assert none.trees == [[], [], []] and none.predict(rows.withColumn("end", F.lit(ENDS[0])), "end", "p").where(
         "p = 0").count() == rows.count()
     early = fit(rows.where("day < '2020-04-01'"), max_trees=2)
-    assert [len(t) for t in early.trees] == [2, 2, 2]
+    assert early.train_ends == [date(2020, 3, 3)] * 3  # held out up to the last row, not to the end
+    assert [len(h) for h in early.history] == [3, 3, 3] and early.history[0] == early.history[2]
