@@ -1,6 +1,6 @@
 """Data-quality gate."""
 
-from opsreliability.catalog.base import query, view
+from opsreliability.catalog.base import SITES, query, view
 from opsreliability.operators import quality as Q
 
 CHECK_SPEC = "name:s category:s observed:r6 threshold:s status:s"
@@ -68,7 +68,8 @@ view("gate_rows", "\n  UNION ALL ".join([_row(*r) for r in ROWS] + [DAYS]))
 
 
 def all_checks(t):
-    return Q.run_checks(t.staged, t.airports, t.carriers, t.raw, expect_all_days=True)
+    legs = t.columns(*dict.fromkeys((*Q.COLUMNS, *SITES)))
+    return Q.run_checks(legs, t.airports, t.carriers, t.raw, expect_all_days=True)
 
 
 @query("dq1_to_dq26_checks", CHECK_SPEC, "SELECT * FROM gate_rows")
@@ -90,4 +91,4 @@ def _(t):
        'calendar_coverage_days', 'origin_in_airport_dim', 'airport_dim_has_coordinates',
        'carrier_dim_named')""")
 def _(t):
-    return Q.run_checks(t.staged)
+    return Q.run_checks(t.columns(*Q.COLUMNS))

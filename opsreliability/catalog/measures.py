@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opsreliability.catalog.base import query, view
+from opsreliability.catalog.base import SITES, query, view
 from opsreliability.catalog.scoring import scores
 from opsreliability.catalog.series import TARGETS, net_flags, x
 from opsreliability.operators import measures as ME
@@ -69,22 +69,24 @@ def spec(names, by=()):
 
 
 def segments_airports(t):
-    n = t.staged.groupBy(F.col("origin").alias("airport_code")).agg(F.count("*").alias("n"))
+    n = t.columns("origin").groupBy(F.col("origin").alias("airport_code")).agg(F.count("*").alias("n"))
     return n.select("airport_code", F.when(F.col("n") >= 2600, "Major hub")
                     .when(F.col("n") >= 2000, "Mid-size").otherwise("Regional").alias("segment"))
 
 
 def segments_routes(t):
-    n = t.staged.where("dep_hour < 20").groupBy("route").agg(F.count("*").alias("n"))
+    n = t.columns("route", "dep_hour").where("dep_hour < 20").groupBy("route").agg(F.count("*").alias("n"))
     return n.select("route", F.when(F.col("n") >= 120, "Trunk route")
                     .when(F.col("n") >= 80, "Mid-volume route").otherwise("Thin route")
                     .alias("segment"))
 
 
-def star(t, carriers=True, airports=True):
+def star(t, carriers=True, airports=True, columns=()):
+    """The star frame of all columns of the legs, or of these."""
     from opsreliability.operators.dims import airport_dim_with_segment
+    legs = t.columns(*dict.fromkeys((*columns, *SITES))) if columns else t.staged
     a = airport_dim_with_segment(t.airports, segments_airports(t)) if airports else None
-    return ME.star_frame(t.staged, t.carriers if carriers else None, a)
+    return ME.star_frame(legs, t.carriers if carriers else None, a)
 
 
 for _name, _by in {"me1_to_me22_network": [], "me1_to_me22_by_carrier": ["carrier_name"],
@@ -152,7 +154,8 @@ def _(t):
        1 - sum(arr_del15) / nullif(sum(completed), 0) AS o FROM star WHERE carrier = 'BUILDING'
        AND state = 'R2' GROUP BY 1)""")
 def _(t):
-    return ME.measures(star(t, False), ["on_time_pct", "route_otp_vs_network_pp"], ["route"],
+    rows = star(t, False, columns=("flight_date", "carrier", "route", "completed", "arr_del15"))
+    return ME.measures(rows, ["on_time_pct", "route_otp_vs_network_pp"], ["route"],
                        where=F.col("carrier") == "BUILDING", route_where=F.col("state") == "R2")
 
 

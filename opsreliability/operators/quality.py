@@ -19,6 +19,11 @@ NOT_NULL = ("flight_date", "carrier", "flight_number", "origin", "dest", "crs_de
             "crs_arr_hhmm", "distance_mi")
 
 
+#: Columns of the legs that the checks look at.
+COLUMNS = ("flight_id", *NOT_NULL, "cancelled", "diverted", "cancellation_code", "completed", "arr_delay_min",
+           "arr_del15", *CAUSES, "crs_elapsed_min", "taxi_out_min")
+
+
 @dataclass(frozen=True)
 class Check:
     """``value`` is an aggregate; the check passes when ``value op limit`` holds."""
