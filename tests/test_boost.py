@@ -76,3 +76,37 @@ def test_no_rows_and_no_validation(data):
     m = B.fit_stopped(none, none, ["c"], ["a"], "y", max_trees=2)
     assert m.predict(data[2]).where("p = 0.5").count() == data[2].count()
     assert len(B.fit_stopped(data[0], none, ["c"], ["a"], "y", max_trees=2, depth=2).trees) == 2
+
+
+def test_sisters_are_added_up_once_and_leaves_cost_no_pass(spark, monkeypatch):
+    """Grown trees equal those of a plain boosting in memory; a tree of depth 3 takes a root and two more passes, which
+    add up one sister of two."""
+    r = np.random.default_rng(8)
+    x = r.integers(0, 9, (3000, 3))
+    y = (r.random(3000) < 1 / (1 + np.exp(-(x[:, 0] - 4.0) * (x[:, 1] > 4) + (x[:, 2] == 3)))).astype(float)
+    d = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).repartition(3)
+    asked, passed = [], B._passed
+    monkeypatch.setattr(B, "_passed", lambda *a: (asked.append(list(a[3])), passed(*a))[1])
+    m = B.fit_stopped(d, d.limit(0), [], ["a", "b", "c"], "y", max_trees=3, depth=3, min_rows=5, weight=2.0)
+    assert len(asked) == 3 * 3 + 1 and max(map(len, asked)) == 2
+    bins = m.bins(x.tolist())
+    margin, w = np.full(3000, m.prior), np.where(y == 1, 2.0, 1.0)
+    for tree in m.trees:
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (y - p), w * p * (1 - p)
+        reached = [np.arange(3000)]
+        for at, (f, cut, left, right, value) in enumerate(tree):
+            here = reached[at]
+            assert abs(value - 0.1 * g[here].sum() / (h[here].sum() + 1)) < 1e-9
+            if f >= 0:
+                assert (left, right) == (len(reached), len(reached) + 1)
+                cells = np.array([[np.bincount(bins[here, j], v[here], 64) for j in range(3)] for v in (g, h, np.ones(3000))])
+                assert B.best_split(*cells, 5, 1.0)[1:] == (f, cut)
+                reached += [here[bins[here, int(f)] <= cut], here[bins[here, int(f)] > cut]]
+        margin += B.add_trees([tree], bins)
+
+
+def test_walk_ends_in_leaves_of_any_depth():
+    tree = np.array([[1, 3, 1, 2, 0], [-1, 0, -1, -1, 1.5], [0, 0, 3, 4, 0], [-1, 0, -1, -1, 2.5], [-1, 0, -1, -1, 3.5]])
+    assert B.walk(tree, np.array([[0, 3], [0, 4], [1, 255]], np.uint8)).tolist() == [1, 3, 4]
+    assert B.walk(tree[1:2], np.zeros((2, 2), np.uint8)).tolist() == [0, 0]
