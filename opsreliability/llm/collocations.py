@@ -29,8 +29,8 @@ from opsreliability.session import materialise
 MAX_WORDS = 4
 LEAST = 30
 TOP = 2000
-#: Words laid out at a time in one task.
-FLUSH = 1_000_000
+#: Words laid out at a time in one task, and packed rows that it hands on at a time.
+FLUSH, HAND_ON = 1_000_000, 16
 #: A slot is hot from so many suffixes, and so many times the mean, on.
 HOT_SUFFIXES, HOT_TIMES = 50_000, 4
 #: Partitions of the last ranking by language; each hands on TOP rows at most.
@@ -130,14 +130,13 @@ def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndar
         order = np.argsort(slot * len(names) ** 2 + lead)
     else:
         order = np.lexsort((lead, slot))
+    del lead
     slot = slot[order]
     starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     used, place = np.zeros(len(names), dtype=bool), np.zeros(len(names), dtype=np.int32)
-    table = np.stack([c[order] for c in columns])
-    weights = None if weights is None else weights[order]
     small = zstandard.ZstdCompressor(level=3).compress
     for a, b in zip(starts, [*starts[1:], len(slot)]):
-        part = table[:, a:b]
+        part = np.stack([c[order[a:b]] for c in columns])  # a slot at a time: the whole table is never copied
         used[part.ravel()] = True
         used[0] = True
         words = np.flatnonzero(used)
@@ -147,14 +146,14 @@ def _packed(slot: np.ndarray, columns: list[np.ndarray], weights, names: np.ndar
         # low bytes first, then high bytes: common words have small numbers
         planes = local.view(np.uint8).reshape(-1, local.itemsize).T
         yield (int(slot[a]), kind, b - a, small(b"\n".join(names[words])), small(planes.tobytes()),
-               None if weights is None else small(weights[a:b].astype("<i8").tobytes()))
+               None if weights is None else small(weights[order[a:b]].astype("<i8").tobytes()))
 
 
 def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(names, numbers by depth, weights or None) of packed rows of one kind, with common numbers."""
     names: dict[bytes, int] = {b".": 0}
-    tables, weights = [], []
-    plain = all(w is None for w in rows.weights)
+    total, at = int(rows.n.sum()), 0
+    table, weights = None, None if all(w is None for w in rows.weights) else np.ones(total, np.int64)
     whole = zstandard.ZstdDecompressor().decompress
     for n, words, ids, w in zip(rows.n, rows.words, rows.ids, rows.weights):
         words = whole(words).split(b"\n")
@@ -162,10 +161,14 @@ def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray |
         ids = np.ascontiguousarray(np.frombuffer(whole(ids), np.uint8).reshape(wide, -1).T)
         place = np.fromiter((names.setdefault(x, len(names)) for x in words), np.int32, len(words))
         local = ids.view(f"<u{wide}").reshape(-1, n)
-        tables.append(place[local])
-        weights.append(np.ones(n, np.int64) if w is None else np.frombuffer(whole(w), dtype="<i8"))
-    return (np.array(list(names), dtype=object), np.concatenate(tables, axis=1),
-            None if plain else np.concatenate(weights))
+        if table is None:
+            table = np.empty((len(local), total), np.int32)
+        for line, numbers in zip(table, local):
+            line[at:at + n] = place[numbers]
+        if w is not None:
+            weights[at:at + n] = np.frombuffer(whole(w), dtype="<i8")
+        at += n
+    return np.array(list(names), dtype=object), table, weights
 
 
 def multikey_quicksort(table: np.ndarray, weights: np.ndarray | None, least: int,
@@ -254,8 +257,9 @@ def phrase_counts(docs: DataFrame, lang_col: str, text_col: str, least: int,
         def sent() -> Iterator[pd.DataFrame]:
             rows = list(layout.rows())
             layout.clear()
-            for at in range(0, len(rows), 256):
-                yield pd.DataFrame(rows[at:at + 256], columns=["slot", "kind", "n", "words", "ids", "weights"])
+            while rows:
+                yield pd.DataFrame(rows[:HAND_ON], columns=["slot", "kind", "n", "words", "ids", "weights"])
+                del rows[:HAND_ON]
 
         for b in batches:
             for lang, text in zip(b.lang, b.text):

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,25 @@ def test_quicksort_counts_groups():
                 want[tuple(c[:d + 1])] += w
     got = {tuple(table[:d + 1, p].tolist()): n for p, d, n in collocations.multikey_quicksort(table, weights, 12)}
     assert got == {k: n for k, n in want.items() if n >= 12}
+
+
+def test_packing_suffixes_keeps_one_copy_of_them():
+    """Beside its input and what it sends, a packing needs an order of the rows but no second table of them."""
+    C = collocations
+    r = np.random.default_rng(2)
+    names = np.array([b"."] + [b"w%d" % i for i in range(500)], dtype=object)
+    columns = [r.integers(1, 500, 400_000).astype(np.int32) for _ in range(C.MAX_WORDS + 1)]
+    slot = r.integers(0, 40, 400_000)
+    tracemalloc.start()
+    rows = pd.DataFrame(list(C._packed(slot, columns, None, names, "s")),
+                        columns=["slot", "kind", "n", "words", "ids", "weights"])
+    packed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    sent = tracemalloc.get_traced_memory()[0]
+    found, table, weights = C._unpacked(rows)
+    unpacked = tracemalloc.get_traced_memory()[1] - sent
+    tracemalloc.stop()
+    assert weights is None and table.shape == (C.MAX_WORDS + 1, 400_000)
+    was = np.stack([names[c] for c in columns])
+    assert sorted(zip(*found[table].tolist())) == sorted(zip(*was.tolist()))
+    assert packed < 36 * 400_000 and unpacked < 1.5 * table.nbytes, (packed / 4e5, unpacked / table.nbytes)
