@@ -2,6 +2,7 @@
 
 from opsreliability.catalog.base import SITES, query, view
 from opsreliability.operators import quality as Q
+from opsreliability.operators.dims import carrier_dim
 
 CHECK_SPEC = "name:s category:s observed:r6 threshold:s status:s"
 
@@ -69,7 +70,7 @@ view("gate_rows", "\n  UNION ALL ".join([_row(*r) for r in ROWS] + [DAYS]))
 
 def all_checks(t):
     legs = t.columns(*dict.fromkeys((*Q.COLUMNS, *SITES)))
-    return Q.run_checks(legs, t.airports, t.carriers, t.raw, expect_all_days=True)
+    return Q.run_checks(legs, t.airports, carrier_dim(legs, t.names), t.raw, expect_all_days=True)
 
 
 @query("dq1_to_dq26_checks", CHECK_SPEC, "SELECT * FROM gate_rows")

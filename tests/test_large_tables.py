@@ -87,3 +87,48 @@ def test_lines_are_shuffled_to_their_orders_only(spark):
     text = plan_of(spark, lambda: raw_legs(spark, "/root/testdata/sf0.001"))
     assert text.count("hashpartitioning(l_orderkey") == 1
     assert not any(f"hashpartitioning({k}" in text for k in ("l_partkey", "l_suppkey"))
+
+
+def test_sums_by_key_and_by_fold_share_a_sort(spark):
+    rows = [(i, None if i % 11 == 0 else f"k{i % 40}", i % 5 - (i % 3 == 0), i % 2, i % 4 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, key string, fold int, late int, gone boolean").withColumn(
+        "gone", F.col("gone").cast("int"))
+    targets = {"delay": "late", "cancel": "gone"}
+    p = FE.priors(df, targets)
+    many = FE._encode_many(df, "key", "id", p, targets, 50.0, "te_")
+    table = FE.te_fold_table(df.where("fold >= 0"), "key", F.col("fold"), p, targets, prefix="te_")
+    want = df.join(table, ["key", "fold"], "left").select(many.columns)
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, want.collect()))
+    assert text.count("Window [") == 2 and text.count("Sort [") == 1 and text.count("hashpartitioning(") == 1
+
+
+def test_days_and_hours_are_counted_as_numbers(spark):
+    df = spark.sql("SELECT id, if(id % 4 = 0, NULL, date_add(DATE '1999-12-30', CAST(id % 3 AS INT))) AS day, "
+                   "if(id % 5 = 0, NULL, CAST(id % 2 AS INT)) AS hour, if(id % 7 = 0, NULL, 'a') AS site FROM range(200)")
+    got = WN.peer_counts(df, {"n": ["site", "day", "hour"]}, "id")
+    want = df.selectExpr("*", "count(1) OVER (PARTITION BY site, day, hour) AS n")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "as string" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_wide_projections_are_compiled_in_any_session(spark):
+    from opsreliability.catalog.base import Tables
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "65535")
+        Tables(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(limit) == "8000"
+        spark.conf.set(limit, "4000")
+        Tables(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(limit) == "4000"
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_checks_join_the_tables_for_the_layer_and_the_count_only(spark):
+    from opsreliability.catalog.base import Tables
+    from opsreliability.catalog.gate import all_checks
+    text = all_checks(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join Inner, (l_orderkey") == 1
