@@ -106,3 +106,33 @@ def test_segments_of_separate_groups(spark):
     assert sorted(r.members for r in prof.collect()) == [30] * 4
     best = items.where("log_departures > 2.5").select("segment").distinct().collect()
     assert [r.segment for r in best] == ["Major hub - evening-heavy bank"]
+
+
+def test_logistic_prepares_as_the_stages_of_spark_do(spark, monkeypatch):
+    from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+    rows = [("ab"[i % 2] if i % 7 else None, f"r{i % 90}", None if i % 10 == 3 else float("nan") if i % 10 == 4 else float(i * i % 37),
+             float(i % 5), 2.0, i % 3 % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "c string, r string, a double, b float, k double, y int").repartition(3)
+
+    def not_used(self, *args):
+        raise AssertionError("the preparation reads the rows through stages of vectors")
+
+    with monkeypatch.context() as only:
+        only.setattr(StringIndexer, "_fit", not_used)
+        only.setattr(StandardScaler, "_fit", not_used)
+        m = L.fit_logistic(df, ["c", "r"], ["a", "b", "k"], "y", rare=5)
+    index = StringIndexer(inputCols=["c", "r"], outputCols=["ci", "ri"], handleInvalid="keep").fit(df)
+    assert [list(s.labels) for s in m.stages[1:3]] == [list(x) for x in index.labelsArray]
+    names = ["a", "b", "k"]
+    doubles = df.selectExpr("*", *[f"CAST({c} AS DOUBLE) AS {c}d" for c in names])
+    full = Imputer(inputCols=[f"{c}d" for c in names], outputCols=[f"{c}m" for c in names], strategy="median").fit(
+        doubles).transform(doubles)
+    v = VectorAssembler(inputCols=[f"{c}m" for c in names], outputCol="v").transform(full)
+    z = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(v).transform(v)
+    got = sorted(tuple(r.features.toArray()[:3]) for r in m.transform(df).select("features").collect())
+    want = sorted(tuple(r.z.toArray()) for r in z.select("z").collect())
+    assert np.allclose(got, want, atol=1e-12)
+    # a, b, the pool and rows without a value; of the 90 labels of r those seen less than 5 times share one indicator
+    often = df.groupBy("r").count().where("count >= 5").count()
+    sizes = list(next(s for s in m.stages if s.__class__.__name__ == "OneHotEncoderModel").categorySizes)
+    assert sizes == [4, often + (often < 90)] and m.stages[-1].numFeatures == 3 + sum(sizes)
